@@ -7,6 +7,7 @@ whatever the corpus) and is applied to the pieces in parallel: no text is shuffl
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass, field
 
@@ -20,7 +21,7 @@ from folioflow.llm.common import documents, doc_bytes, materialise, tokenizer_pa
 
 CAPACITY = 2048
 #: Entries and bytes of a worker's cache from a white-space-free chunk to its ids.
-CACHE_ENTRIES, CACHE_KEY_BYTES = 300_000, 64
+CACHE_ENTRIES, CACHE_KEY_BYTES = 400_000, 64
 
 _TOKENIZERS: dict = {}
 _CACHES: dict = {}
@@ -42,29 +43,60 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def _units() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary: itself where it prints, else the next free one from 256 on."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(own)))}
+
+
+_UNITS = _units()
+#: Chunks of printing ASCII and Latin-1 letters: lower case and composition change each character by itself there.
+_PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: The vocabulary's own pattern (a fixed value), over such chunks.
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^0-9a-z\xdf-\xf6\xf8-\xff]+")
+
+
+def _chunk_ids(chunks: list[bytes], tok, words: dict[str, bytes]) -> dict[bytes, bytes]:
+    """Plain chunks word by word, through a cache of words; all others by the library as they are."""
+    out, other = {}, []
+    for chunk in chunks:
+        text = chunk.decode("utf-8", "replace")
+        if not _PLAIN.fullmatch(text) or "<|" in text:
+            other.append((chunk, text))
+            continue
+        ids = []
+        for word in _WORDS.findall(text.lower()):
+            if word not in words:
+                units = "".join(map(_UNITS.__getitem__, word.encode()))
+                words[word] = np.array([t.id for t in tok.model.tokenize(units)], "<u4").tobytes()
+            ids.append(words[word])
+        out[chunk] = b"".join(ids)
+    for k in range(0, len(other), 512):
+        part = other[k : k + 512]
+        for (chunk, _), e in zip(part, tok.encode_batch_fast([text for _, text in part], add_special_tokens=False), strict=True):
+            out[chunk] = np.array(e.ids, "<u4").tobytes()
+    return out
+
+
 def encode(texts: list[bytes], path: str) -> list[bytes]:
     """Each text's ids as little-endian 32-bit numbers.
 
     The vocabulary drops white space, so no token, and no normalisation, crosses it: the ids of a text are those of its
-    white-space-free chunks in order, and a worker keeps the ids of the chunks that it has seen.
+    white-space-free chunks in order, and a worker keeps the ids of the chunks and of the words that it has seen.
     """
-    tok, cache = _tokenizer(path), _CACHES.setdefault(path, {})
-    if len(cache) > CACHE_ENTRIES:
-        cache.clear()
+    tok = _tokenizer(path)
+    cache, words = _CACHES.setdefault(path, ({}, {}))
+    for kept in (cache, words):
+        if len(kept) > CACHE_ENTRIES:
+            kept.clear()
     chunks = [t.split() for t in texts]
-    found = [list(map(cache.get, c)) for c in chunks]
-    missing: dict[bytes, bytes | None] = {}
-    for c, ids in zip(chunks, found, strict=True):
-        if None in ids:
-            missing.update((w, None) for w, i in zip(c, ids, strict=True) if i is None)
-    if missing:
-        keys = list(missing)
-        for k in range(0, len(keys), 4096):
-            part = keys[k : k + 4096]
-            for w, e in zip(part, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                missing[w] = np.array(e.ids, "<u4").tobytes()
-        cache.update((w, i) for w, i in missing.items() if len(w) <= CACHE_KEY_BYTES)
-    return [b"".join(ids) if None not in ids else b"".join([missing[w] if i is None else i for w, i in zip(c, ids, strict=True)]) for c, ids in zip(chunks, found, strict=True)]
+    missing = list(set().union(*chunks).difference(cache))
+    cache.update(_chunk_ids(missing, tok, words))
+    out = [b"".join(map(cache.__getitem__, c)) for c in chunks]
+    for w in missing:
+        if len(w) > CACHE_KEY_BYTES:
+            del cache[w]
+    return out
 
 
 def cut(docs: DataFrame, capacity: int, path: str, end_id: int = 0) -> DataFrame:
