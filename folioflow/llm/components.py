@@ -45,8 +45,8 @@ def bloom(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def passing(docs: DataFrame, filter_: np.ndarray, hashes: list[str]) -> DataFrame:
-    """Rows of docs whose three hash columns all hit the filter."""
+def passing(docs: DataFrame, filter_: np.ndarray, hashes: list[str], inside: bool = True) -> DataFrame:
+    """Rows of docs whose three hash columns all hit the filter, or all others (null ids among them)."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -57,8 +57,10 @@ def passing(docs: DataFrame, filter_: np.ndarray, hashes: list[str]) -> DataFram
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for h in hashes:
-                p = pc.fill_null(batch.column(h), 0).to_numpy(zero_copy_only=False).astype(np.uint64) % np.uint64(64 * len(words))
+                p = pc.fill_null(batch.column(h), 0).to_numpy(zero_copy_only=False).astype(np.uint64)
                 keep &= (words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+            keep &= batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            keep = keep if inside else ~keep
             if keep.any():
                 yield batch.filter(pa.array(keep)).drop_columns(hashes)
 
@@ -66,9 +68,9 @@ def passing(docs: DataFrame, filter_: np.ndarray, hashes: list[str]) -> DataFram
     return docs.mapInArrow(run, type(docs.schema)(kept))
 
 
-def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id may be among ids (a long column `id`); a join decides."""
+def among(docs: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows of docs whose doc_id may be among ids (a long column `id`), which a join decides; or those whose can't."""
     filter_ = bloom(ids)
     bits = 64 * len(filter_)
     hashes = {f"_h{k}": F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(k)), F.lit(bits)) for k in (21, 22, 23)}
-    return passing(docs.withColumns(hashes), filter_, list(hashes))
+    return passing(docs.withColumns(hashes), filter_, list(hashes), inside)

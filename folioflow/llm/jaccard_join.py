@@ -299,5 +299,13 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component (or null). A Bloom filter of the ids that go lets most
+    rows pass where they are; only the others are joined."""
+    gone = materialise(join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    maybe, sure = among(docs, gone), among(docs, gone, inside=False)
+    return sure.unionByName(maybe.join(gone, F.col("doc_id") == F.col("id"), "left_anti"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))

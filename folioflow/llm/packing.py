@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass, field
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -52,25 +53,35 @@ def _units() -> dict[int, str]:
 _UNITS = _units()
 #: Chunks of printing ASCII and Latin-1 letters: lower case and composition change each character by itself there.
 _PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_STOPS = frozenset([b",", b".", b"!", b"?", b";", b":"])
 #: The vocabulary's own pattern (a fixed value), over such chunks.
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^0-9a-z\xdf-\xf6\xf8-\xff]+")
 
 
-def _chunk_ids(chunks: list[bytes], tok, words: dict[str, bytes]) -> dict[bytes, bytes]:
+def _chunk_ids(chunks: list[bytes], tok, words: dict[bytes, bytes]) -> dict[bytes, bytes]:
     """Plain chunks word by word, through a cache of words; all others by the library as they are."""
     out, other = {}, []
+    tokenize = tok.model.tokenize
+
+    def ids_of(word: bytes) -> bytes:
+        found = words.get(word)
+        if found is None:
+            ids = [t.id for t in tokenize(word.decode() if word.isascii() else "".join(map(_UNITS.__getitem__, word)))]
+            found = words[word] = pack_ids(f"<{len(ids)}I", *ids)
+        return found
+
     for chunk in chunks:
-        text = chunk.decode("utf-8", "replace")
-        if not _PLAIN.fullmatch(text) or "<|" in text:
-            other.append((chunk, text))
-            continue
-        ids = []
-        for word in _WORDS.findall(text.lower()):
-            if word not in words:
-                units = "".join(map(_UNITS.__getitem__, word.encode()))
-                words[word] = np.array([t.id for t in tok.model.tokenize(units)], "<u4").tobytes()
-            ids.append(words[word])
-        out[chunk] = b"".join(ids)
+        low = chunk.lower()
+        if low.isalpha():
+            out[chunk] = ids_of(low)
+        elif low[:-1].isalpha() and low[-1:] in _STOPS:
+            out[chunk] = ids_of(low[:-1]) + ids_of(low[-1:])
+        else:
+            text = chunk.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                out[chunk] = b"".join([ids_of(w.encode()) for w in _WORDS.findall(text.lower())])
+            else:
+                other.append((chunk, text))
     for k in range(0, len(other), 512):
         part = other[k : k + 512]
         for (chunk, _), e in zip(part, tok.encode_batch_fast([text for _, text in part], add_special_tokens=False), strict=True):

@@ -260,17 +260,19 @@ def _sorted_windows(batches):
 
 
 def spans_of(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc, start and stop of removed bytes; spans may overlap. texts: doc_id and text of docs, dealt by doc_id."""
+    """doc, start and stop of removed bytes; spans may overlap. texts: docs with doc_id and text among their columns, dealt by
+    doc_id; the caller joins all their columns once more, so that Spark deals them out only once."""
     blocks = find_blocks(docs).repartition("key").sortWithinPartitions("key", "block", "doc", "at")
     found = materialise(blocks.mapInArrow(_resolve, "kind long, doc long, start long, stop long, key long"), "blocks")
     asked = found.where("kind = 1")
     hot = asked.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
-    asked = asked.join(hot, "key", "left").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "start", "stop", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
+    asked = asked.join(hot, "key", "left").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "start", "stop", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("_asked")).withColumnRenamed("doc_id", "_doc")
 
     def cut(batches):
         for batch in batches:
             ordinary, windows = [], {}
-            for doc, text, asked in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "asked")), strict=True):
+            for doc, text, asked in zip(*(batch.column(k).to_pylist() for k in ("_doc", "text", "_asked")), strict=True):
+                text = text.encode() if isinstance(text, str) else text
                 for a in asked:
                     s, n = a["start"], a["stop"]
                     if a["hot"]:
@@ -289,7 +291,7 @@ def spans_of(docs: DataFrame, texts: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["kind", "key", "doc", "start", "stop", "text"])
 
-    met = texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(cut, "kind int, key long, doc long, start long, stop long, text binary")
+    met = texts.join(asked, F.col("doc_id") == F.col("_doc")).mapInArrow(cut, "kind int, key long, doc long, start long, stop long, text binary")
     dealt = met.repartition("kind", "key").sortWithinPartitions("kind", "key", "text", "doc", "start")
     more = dealt.mapInArrow(_sort_kinds, "doc long, start long, stop long")
     return found.where("kind = 0").select("doc", "start", "stop").unionByName(more)
@@ -341,11 +343,12 @@ def _joined(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def _with_spans(docs: DataFrame, *more: str) -> DataFrame:
+def _with_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """All columns of texts, and `_spans`."""
     tuned(docs.sparkSession)
-    texts = doc_bytes(docs).repartition("doc_id")
-    spans = spans_of(docs, texts).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return (doc_bytes(docs, *more).repartition("doc_id") if more else texts).join(spans, "doc_id", "left")
+    texts = texts.repartition("doc_id")
+    spans = spans_of(docs, texts).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    return texts.join(spans, F.col("doc_id") == F.col("_doc"), "left")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -359,7 +362,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for doc, text, spans in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "spans")), strict=True):
+            for doc, text, spans in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "_spans")), strict=True):
                 gone = _joined(spans)
                 kept, at = hashlib.sha256(), 0
                 for a, z in gone:
@@ -371,7 +374,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return _with_spans(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>")
+    return _with_spans(docs, doc_bytes(docs)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>")
 
 
 def deduplicated_texts(docs: DataFrame) -> DataFrame:
@@ -393,12 +396,9 @@ def deduplicated_texts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [shorten(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
             k = batch.schema.get_field_index("text")
-            yield batch.set_column(k, "text", pa.array(texts, pa.string())).drop_columns(["_spans"])
+            yield batch.set_column(k, "text", pa.array(texts, pa.string())).drop_columns(["_doc", "_spans"])
 
-    tuned(docs.sparkSession)
-    texts = doc_bytes(docs).repartition("doc_id")
-    spans = spans_of(docs, texts).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    return docs.join(spans, F.col("doc_id") == F.col("_doc"), "left").drop("_doc").mapInArrow(run, docs.schema)
+    return _with_spans(docs, docs).mapInArrow(run, docs.schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,6 +183,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Lex
 _CACHE: dict = {}
 
 
+def judge(texts: list[bytes], lex: Lexicon) -> tuple[list[float], list[list[tuple[int, int, float]]]]:
+    """Score and passages of each text; the worker keeps the weights of the tokens that it has seen."""
+    if _CACHE.get("of") is not lex:
+        _CACHE.update(of=lex, weights={})
+    weights, scores, passages = _CACHE["weights"], [], []
+    if len(weights) > CACHE_ENTRIES:
+        weights.clear()
+    for text in texts:
+        words = tokens(text)
+        found = list(map(weights.get, words))
+        if None in found:
+            for w in {w for w, x in zip(words, found, strict=True) if x is None}:
+                weights[w] = lex.weight(w)
+            found = list(map(weights.__getitem__, words))
+        parts = segments([(i, x) for i, x in enumerate(found) if x] if any(found) else [])
+        scores.append(probability(parts, len(words), lex.rate, lex.prior))
+        passages.append(parts)
+    return scores, passages
+
+
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, and the passages (first word, last word, score) of every document.
 
@@ -193,24 +213,9 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
     sent = spark.sparkContext.broadcast(lexicon)
 
     def run(batches):
-        lex = sent.value
-        if _CACHE.get("of") is not lex:
-            _CACHE.update(of=lex, weights={})
         for batch in batches:
-            weights, scores, passages = _CACHE["weights"], [], []
-            if len(weights) > CACHE_ENTRIES:
-                weights.clear()
-            for text in batch.column(1).to_pylist():
-                words = tokens(text)
-                found = list(map(weights.get, words))
-                if None in found:
-                    for w in {w for w, x in zip(words, found, strict=True) if x is None}:
-                        weights[w] = lex.weight(w)
-                    found = list(map(weights.__getitem__, words))
-                hits = [(i, x) for i, x in enumerate(found) if x] if any(found) else []
-                parts = segments(hits)
-                scores.append(probability(parts, len(words), lex.rate, lex.prior))
-                passages.append([{"first": a, "last": b, "score": s} for a, b, s in parts])
+            scores, found = judge(batch.column(1).to_pylist(), sent.value)
+            passages = [[{"first": a, "last": b, "score": s} for a, b, s in parts] for parts in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(passages, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())])))], names=["doc_id", "score", "passages"])
 
     scored = doc_bytes(docs).mapInArrow(run, "doc_id long, score double, passages array<struct<first: long, last: long, score: double>>")
@@ -218,6 +223,19 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
 
 
+def clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold."""
+    spark = tuned(docs.sparkSession)
+    sent = spark.sparkContext.broadcast(lexicon)
+
+    def run(batches):
+        for batch in batches:
+            scores, _ = judge([(t or "").encode() for t in batch.column("text").to_pylist()], sent.value)
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
