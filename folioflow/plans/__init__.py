@@ -1 +1 @@
-
+"""Whole queries and pipelines."""

@@ -1 +1 @@
-
+"""Progress streams."""
