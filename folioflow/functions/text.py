@@ -140,8 +140,8 @@ def clamp_page(page: Column, total: Column) -> Column:
 
 
 def backoff_seconds(status: Column, retry_after: Column, attempt: Column) -> Column:
-    given = F.greatest(F.lit(0.0), retry_after.try_cast("double"))
-    return F.coalesce(given, F.when(status == 429, 10.0).otherwise(5.0) * F.pow(F.lit(2.0), attempt))
+    given = retry_after.try_cast("double")
+    return F.when(given.isNotNull(), F.greatest(F.lit(0.0), given)).otherwise(F.when(status == 429, 10.0).otherwise(5.0) * F.pow(F.lit(2.0), attempt))
 
 
 def truthy(value: Column) -> Column:

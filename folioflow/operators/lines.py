@@ -38,7 +38,7 @@ def merge_soft_wraps(lines: DataFrame) -> DataFrame:
     lines = lines.withColumn("code", (F.col("fence") == 1) | (F.pmod(F.coalesce(F.sum("fence").over(_before(w)), F.lit(0)), F.lit(2)) == 1))
     opens, ends = F.col("s").startswith("$$"), F.col("s").endswith("$$")
     lines = lines.withColumn("flip", (~F.col("code") & (F.col("s") == "$$")).cast("int"))
-    lines = lines.withColumn("set", F.when(~F.col("code") & (F.col("flip") == 0) & (opens != ends), opens.cast("int")))
+    lines = lines.withColumn("set", F.when(~F.col("code") & (F.col("flip") == 0) & (opens | ends), (~ends).cast("int")))
     lines = lines.withColumn("flips", F.sum("flip").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     last = F.last(F.when(F.col("set").isNotNull(), F.struct("set", "flips")), ignorenulls=True).over(_before(w))
     flipped = F.coalesce(F.lag("flips").over(w), F.lit(0)) - F.coalesce(last["flips"], F.lit(0))

@@ -224,7 +224,7 @@ def _(s, d):
 _ERROR = ("case o_orderkey % 3 when 0 then 429 when 1 then 500 end as status", "case when o_orderkey % 5 = 0 then '3' when o_orderkey % 7 = 0 then 'soon' when o_orderkey % 11 = 0 then '-2' end as retry_after", "o_orderkey % 4 as attempt")
 
 
-@query("p23_backoff", f"select o_orderkey, coalesce(greatest(0.0::double, try_cast(retry_after as double)), case when status = 429 then 10.0::double else 5.0::double end * pow(2.0::double, attempt))::double as seconds from (select o_orderkey, {', '.join(_ERROR)} from orders)")
+@query("p23_backoff", f"select o_orderkey, case when try_cast(retry_after as double) is not null then greatest(0.0::double, try_cast(retry_after as double)) else case when status = 429 then 10.0::double else 5.0::double end * pow(2.0::double, attempt) end as seconds from (select o_orderkey, {', '.join(_ERROR)} from orders)")
 def _(s, d):
     rows = table(s, d, "orders").selectExpr("o_orderkey", *_ERROR)
     return rows.select("o_orderkey", T.backoff_seconds(F.col("status"), F.col("retry_after"), F.col("attempt")).alias("seconds"))
@@ -481,7 +481,7 @@ _PREFIX_SQL = " or ".join(f"starts_with(l, '{p}')" for p in lines.BLOCK_PREFIXES
 _SOFT = f"""{MD_LINES_SQL}, f0 as (select doc_id, ln, case when ln % 23 = 8 then '$$' when ln % 29 = 10 then '```' else line end as line from md_lines),
 s1 as (select *, {_strip('line')} as s, regexp_replace(line, '^{_WS}+', '') as l from f0),
 s2 as (select *, starts_with(s, '```') or coalesce(sum(starts_with(s, '```')::int) over (partition by doc_id order by ln rows between unbounded preceding and 1 preceding), 0) % 2 = 1 as code from s1),
-s3 as (select *, (not code and s = '$$')::int as flip, case when not code and s <> '$$' and starts_with(s, '$$') <> ends_with(s, '$$') then starts_with(s, '$$')::int end as fix from s2),
+s3 as (select *, (not code and s = '$$')::int as flip, case when not code and s <> '$$' and (starts_with(s, '$$') or ends_with(s, '$$')) then (not ends_with(s, '$$'))::int end as fix from s2),
 s4 as (select *, sum(flip) over (partition by doc_id order by ln) as flips from s3),
 s5 as (select *, last_value(case when fix is not null then struct_pack(a := fix, b := flips) end ignore nulls) over (partition by doc_id order by ln rows between unbounded preceding and 1 preceding) as p, coalesce(lag(flips) over (partition by doc_id order by ln), 0) as before from s4),
 s6 as (select *, not code and not ((coalesce(p.a, 0) + before - coalesce(p.b, 0)) % 2 = 1) and not (l = '' or {_PREFIX_SQL}) as plain from s5),
