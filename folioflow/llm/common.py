@@ -28,14 +28,14 @@ def _settable(spark: SparkSession) -> bool:
     return spark.conf.isModifiable("spark.checkpoint.dir")
 
 
-def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: lineage ends, lost executors cost one re-read."""
+def materialise(df: DataFrame, name: str, narrow: int = 0) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: lineage ends, lost executors cost one re-read.
+
+    narrow: at most so many files for each core of the cluster, instead of one for each partition.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if by:
-        writer = writer.partitionBy(by)
-    writer.parquet(path)
+    (df.coalesce(max(2, narrow * spark.sparkContext.defaultParallelism)) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

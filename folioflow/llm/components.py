@@ -18,14 +18,14 @@ def components(edges: DataFrame) -> DataFrame:
     Each round a vertex takes the least label around it and then that label's own label, so paths halve; labels are
     written after each round, and the loop ends with the round that changes none.
     """
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges", narrow=1)
     labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("component"))
-    labels = materialise(labels, "labels")
+    labels = materialise(labels, "labels", narrow=1)
     while True:
         seen = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
         met = labels.join(seen, F.col("id") == F.col("a"), "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("new"))
         own = labels.select(F.col("id").alias("_id"), F.col("component").alias("_up"))
-        labels = materialise(met.join(own, F.col("new") == F.col("_id"), "left").select("id", F.col("component").alias("old"), F.least("new", F.coalesce("_up", "new")).alias("component")), "labels")
+        labels = materialise(met.join(own, F.col("new") == F.col("_id"), "left").select("id", F.col("component").alias("old"), F.least("new", F.coalesce("_up", "new")).alias("component")), "labels", narrow=1)
         if not labels.where("old <> component").limit(1).count():
             return labels.select("id", "component")
         labels = labels.select("id", "component")

@@ -28,9 +28,13 @@ WORDS, PERCENT = 5, 80
 #: Seeds of the orders besides the first.
 ORDERS = (1, 2, 3)
 #: Sets with a token from which it counts as frequent, frequent tokens at most (8 MB; the commonest), shingles counted at once.
-FREQUENT, MOST_FREQUENT, AT_ONCE = 32, 1_000_000, 2_000_000
+FREQUENT, MOST_FREQUENT, AT_ONCE = 32, 1_000_000, 4_000_000
 #: Classes of a block, and members verified beside one leader in one place.
 BLOCK, BESIDE = 1_024, 256
+#: Classes of a group whose pairs are written out, which costs less than to deal out its sketches.
+SMALL = 24
+#: Classes of a group's largest component up to which the group counts as loose.
+LOOSE = 3
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -46,27 +50,61 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """A bitmap with a bit for each token's cell; 1 to 2 cells a token."""
+    """How many tokens fall in each cell, 3 for more; 1 to 2 cells a token. Two bitmaps: the counts' high and low bits."""
     cells = 64
     while cells < len(tokens):
         cells *= 2
-    bits = np.zeros(cells, np.uint8)
-    bits[(tokens & np.uint64(cells - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    counts = np.minimum(np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 3).astype(np.uint8)
+    return np.packbits(np.concatenate([counts >> 1, counts & 1])).tobytes()
+
+
+def levels(sketches: list[bytes]) -> np.ndarray:
+    """Of sketches of one width, bitmaps of the cells with at least 1, 2 and 3 tokens: sketches x 3 x bytes."""
+    planes = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), 2, -1)
+    high, low = planes[:, 0], planes[:, 1]
+    return np.stack([high | low, high, high & low], axis=1)
 
 
 def fold(bits: np.ndarray, width: int) -> np.ndarray:
-    """Sketches (rows of bytes) at a smaller width."""
-    while bits.shape[1] > width:
-        half = bits.shape[1] // 2
-        bits = bits[:, :half] | bits[:, half:]
+    """Levels at a smaller width in bytes: counts of two cells add up."""
+    while bits.shape[2] > width:
+        half = bits.shape[2] // 2
+        (a1, a2, a3), (b1, b2, b3) = np.moveaxis(bits[:, :, :half], 1, 0), np.moveaxis(bits[:, :, half:], 1, 0)
+        bits = np.stack([a1 | b1, a2 | b2 | a1 & b1, a3 | b3 | a2 & b1 | a1 & b2], axis=1)
     return bits
 
 
 def possible(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Whether sketches of rows a and b (of one width), with na and nb tokens, allow the similarity: each cell that only one
-    of them fills holds a token that the other lacks."""
-    both = np.minimum(na - np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(axis=-1, dtype=np.int64))
+    """Whether levels of rows a and b (of one width), with na and nb tokens, allow the similarity: where a cell holds more
+    tokens of one than of the other, the other lacks so many."""
+    lack = lambda x, y: np.bitwise_count(x & ~y).sum(axis=(-2, -1), dtype=np.int64)
+    both = np.minimum(na - lack(a, b), nb - lack(b, a))
+    return 100 * both >= percent * (na + nb - both)
+
+
+def outline(tokens: np.ndarray) -> bytes:
+    """A coarser count of tokens, 15 for more; 4 to 8 tokens a cell, two cells a byte. It tells sets with little in common."""
+    cells = 16
+    while 8 * cells < len(tokens):
+        cells *= 2
+    counts = np.minimum(np.bincount((tokens >> np.uint64(20) & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 15).astype(np.uint8)
+    return (counts[: cells // 2] | counts[cells // 2 :] << 4).tobytes()
+
+
+def unfold(outlines: list[bytes], cells: int) -> np.ndarray:
+    """Counts of outlines of one width, added up to as few cells."""
+    packed = np.frombuffer(b"".join(outlines), np.uint8).reshape(len(outlines), -1)
+    counts = np.concatenate([packed & 15, packed >> 4], axis=1)
+    while counts.shape[1] > cells:
+        half = counts.shape[1] // 2
+        counts = np.minimum(counts[:, :half] + counts[:, half:], 15)
+    return counts
+
+
+def conceivable(a: np.ndarray, na: int, b: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """As possible(), for counts of one set and of several: a full cell may hold any number."""
+    lack = lambda x, y: np.where(y == 15, 0, np.maximum(x.astype(np.int16) - y, 0)).sum(axis=-1, dtype=np.int64)
+    both = np.minimum(na - lack(a, b), nb - lack(b, a))
     return 100 * both >= percent * (na + nb - both)
 
 
@@ -85,25 +123,26 @@ def read(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches):
         held: dict[tuple[int, int], np.ndarray] = {}
-        size = 0
+        size, names = 0, ["kind", "doc_id", "key", "n", "sketch", "outline"]
 
         def shared():
             tokens, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
             tokens, n = tokens[n > 1], n[n > 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), pa.int64()), pa.array(_signed(tokens)), pa.array(n), pa.nulls(len(n), pa.binary())], names=["kind", "doc_id", "key", "n", "sketch"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), pa.int64()), pa.array(_signed(tokens)), pa.array(n), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())], names=names)
 
         for batch in batches:
-            keys, sizes, sketches = [], [], []
+            keys, sizes, sketches, outlines = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, words)
                 key = (_key(s), len(s))
                 keys.append(key[0])
                 sizes.append(len(s))
                 sketches.append(sketch(s))
+                outlines.append(outline(s))
                 if len(s) and key not in held:
                     held[key] = s
                     size += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=["kind", "doc_id", "key", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(outlines, pa.binary())], names=names)
             if size > AT_ONCE:
                 yield shared()
                 held.clear()
@@ -111,7 +150,7 @@ def read(docs: DataFrame, words: int = WORDS) -> DataFrame:
         if held:
             yield shared()
 
-    return materialise(doc_bytes(docs).mapInArrow(run, "kind int, doc_id long, key long, n long, sketch binary"), "sets")
+    return materialise(doc_bytes(docs).mapInArrow(run, "kind int, doc_id long, key long, n long, sketch binary, outline binary"), "sets", narrow=4)
 
 
 def index(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -161,23 +200,23 @@ def index(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percent: in
                 yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], names=["token", "key", "n"])
 
     rows = doc_bytes(docs).mapInArrow(prefixes, "token long, key long, n long")
-    return materialise(rows.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(meet, "token long, key long, n long"), "index")
+    return materialise(rows.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(meet, "token long, key long, n long"), "index", narrow=4)
 
 
 def groups(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """token, id and n, one token for each distinct set of classes that tokens stand for."""
     marked = shared.groupBy("token").agg(F.sum(F.xxhash64("key", "n").cast("decimal(20,0)")).alias("mark"), F.count("*").alias("size"))
     one = marked.groupBy("mark", "size").agg(F.min("token").alias("token"))
-    return materialise(shared.join(one.select("token"), "token").join(classes.select("key", "n", "id"), ["key", "n"]).select("token", "id", "n"), "groups")
+    return materialise(shared.join(one.select("token"), "token").join(classes.select("key", "n", "id"), ["key", "n"]).select("token", "id", "n"), "groups", narrow=1)
 
 
 def verify(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Those of pairs (a, b) that are similar, by their whole texts. Texts come to the side of a, a few hundred b a place."""
-    pairs = materialise(pairs, "pairs")
+    pairs = materialise(pairs, "pairs", narrow=1)
     places = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(BESIDE))).cast("int").alias("places"))
     leaders = places.select(F.col("a").alias("id"), F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("role"))
     members = pairs.join(places, "a").select(F.col("b").alias("id"), F.col("a").alias("leader"), F.pmod(F.hash("b"), "places").alias("place"), F.lit(1).alias("role"))
-    roles = materialise(leaders.unionByName(members), "roles")
+    roles = materialise(leaders.unionByName(members), "roles", narrow=1)
 
     def compare(batches):
         leader, mine, firsts, done = None, None, (), set()
@@ -199,37 +238,67 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int =
 
     texts = among(doc_bytes(docs), roles.select("id").distinct())
     met = texts.join(roles, F.col("doc_id") == F.col("id")).select("leader", "place", "role", "doc_id", "text")
-    return materialise(met.repartition("leader", "place").sortWithinPartitions("leader", "place", "role", "doc_id").mapInArrow(compare, "a long, b long"), "links")
+    return materialise(met.repartition("leader", "place").sortWithinPartitions("leader", "place", "role", "doc_id").mapInArrow(compare, "a long, b long"), "links", narrow=4)
 
 
-def first_pairs(grouped: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Each class beside the least of its group, unless their sketches forbid it."""
-    least = grouped.groupBy("token").agg(F.min("id").alias("a"))
-    pairs = grouped.join(least, "token").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    near = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-    met = pairs.join(left, "a").join(right, "b").where(near)
+def _met(pairs: DataFrame, classes: DataFrame, what: str, check, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose columns `what` pass check(x, nx, y, ny)."""
+    left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(what).alias("xa"))
+    right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col(what).alias("xb"))
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for na, sa, nb, sb in zip(*(batch.column(k).to_pylist() for k in ("na", "sa", "nb", "sb")), strict=True):
-                w = min(len(sa), len(sb))
-                x, y = (fold(np.frombuffer(s, np.uint8)[None], w)[0] for s in (sa, sb))
-                keep.append(bool(possible(x, np.int64(na), y, np.int64(nb), percent)))
+            keep = [bool(check(x, nx, y, ny)) for nx, x, ny, y in zip(*(batch.column(k).to_pylist() for k in ("na", "xa", "nb", "xb")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return met.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "xa", "nb", "xb").mapInArrow(run, "a long, b long")
+
+
+def allowed(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Distinct pairs (a, b) that outlines, and then sketches, don't forbid: few get as far as the larger of the two."""
+
+    def coarse(x, nx, y, ny):
+        cells = 2 * min(len(x), len(y))
+        return conceivable(unfold([x], cells)[0], nx, unfold([y], cells), np.int64(ny), percent)[0]
+
+    def fine(x, nx, y, ny):
+        w = min(len(x), len(y)) // 2
+        return possible(fold(levels([x]), w), np.int64(nx), fold(levels([y]), w), np.int64(ny), percent)[0]
+
+    return _met(_met(pairs.distinct(), classes, "outline", coarse, percent), classes, "sketch", fine, percent)
+
+
+def _alike(a: str, b: str, percent: int):
+    """Sizes that allow the similarity."""
+    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+
+
+def first_pairs(grouped: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Each class beside the least of its group, unless their sizes or sketches forbid it."""
+    least = grouped.groupBy("token").agg(F.min(F.struct("id", "n")).alias("m")).select("token", F.col("m.id").alias("a"), F.col("m.n").alias("na"))
+    pairs = grouped.join(least, "token").where((F.col("a") != F.col("id")) & _alike("n", "na", percent))
+    return allowed(pairs.select("a", F.col("id").alias("b")), classes, percent)
 
 
 def across_pairs(grouped: DataFrame, classes: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """All pairs of one group and different components that their sketches allow."""
+    """All pairs of one group and different components that their sketches allow.
+
+    Groups of up to SMALL give their pairs of like sizes as they are, which then meet the sketches. In larger ones without a
+    component of note most have little in common but a passage: outlines are dealt out, and the pairs that they leave meet
+    the sketches. Of the others the sketches themselves are dealt out, and each pair comes from the least of its groups.
+    """
     rows = grouped.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
     bulk = parts.groupBy("token").agg(F.max(F.struct("size", "component")).alias("m"), F.sum("size").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    bulk = bulk.select("token", F.col("m.component").alias("bulk"), F.ceil(F.col("m.size") / F.lit(float(BLOCK))).cast("int").alias("n_bulk"), F.ceil((F.col("all") - F.col("m.size")) / F.lit(float(BLOCK))).cast("int").alias("n_rest"))
-    rows = materialise(rows.join(bulk, "token").withColumn("in_bulk", F.col("component") == F.col("bulk")), "across")
+    bulk = bulk.select("token", "all", F.col("m.size").alias("most"), F.col("m.component").alias("bulk"), F.ceil(F.col("m.size") / F.lit(float(BLOCK))).cast("int").alias("n_bulk"), F.ceil((F.col("all") - F.col("m.size")) / F.lit(float(BLOCK))).cast("int").alias("n_rest"))
+    rows = materialise(rows.join(bulk, "token").withColumn("in_bulk", F.col("component") == F.col("bulk")), "across", narrow=1)
+    small = rows.where(F.col("all") <= SMALL).select("token", "id", "n", "component")
+    other = small.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    few = allowed(small.join(other, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & _alike("n", "nb", percent)).select(F.col("id").alias("a"), "b"), classes, percent)
+    loose = (F.col("all") > SMALL) & (F.col("most") <= LOOSE)
+    vague = allowed(_loose_pairs(rows.where(loose), classes, percent), classes, percent)
+    rows = rows.where((F.col("all") > SMALL) & ~loose)
+    own = rows.groupBy("id").agg(F.collect_list("token").alias("tokens"))  # no more than a prefix
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     at_bulk, at_rest = F.pmod(F.hash("id"), "n_bulk"), F.pmod(F.hash("id"), "n_rest")
@@ -237,44 +306,85 @@ def across_pairs(grouped: DataFrame, classes: DataFrame, labels: DataFrame, perc
     # the rest meets each block of the bulk, and itself in cells (-1 - i, j) with i <= j
     of_rest = F.concat(F.transform(every("n_bulk"), lambda i: cell(i, at_rest)), F.transform(every("n_rest"), lambda j: cell(-1 - F.least(j, at_rest), F.greatest(j, at_rest))))
     dealt = rows.withColumn("cell", F.explode(F.when(F.col("in_bulk"), of_bulk).otherwise(of_rest)))
-    dealt = dealt.select("token", "cell.i", "cell.j", "id", "n", "component").join(classes.select("id", "sketch"), "id")
+    dealt = dealt.select("token", "cell.i", "cell.j", "id", "n", "component").join(classes.select("id", "sketch"), "id").join(own, "id")
 
-    def pairs_of(group):
+    def pairs_of(token, group):
         n, component, ids = (np.array(group[k]) for k in ("n", "component", "id"))
-        sketches = group["sketch"]
         order = np.argsort(n, kind="stable")
-        n, component, ids, sketches = n[order], component[order], ids[order], [sketches[k] for k in order]
+        n, component, ids = n[order], component[order], ids[order]
+        sketches, tokens = [group["sketch"][k] for k in order], [set(group["tokens"][k]) for k in order]
+        width = np.array([len(x) // 2 for x in sketches])
+        bits = {w: levels([x for x, v in zip(sketches, width, strict=True) if v == w]) for w in set(width.tolist())}
+        row = np.zeros(len(ids), np.int64)
+        for w in bits:
+            row[width == w] = np.arange((width == w).sum())
         for k in range(len(ids) - 1):
             last = np.searchsorted(n, n[k] * 100 // percent, side="right")
             near = np.arange(k + 1, last)
             near = near[component[near] != component[k]]
-            w = len(sketches[k])
-            for width in {len(sketches[x]) for x in near}:
-                own = near[[len(sketches[x]) == width for x in near]]
-                s = fold(np.frombuffer(b"".join(sketches[x] for x in own), np.uint8).reshape(len(own), width), w)
-                x = fold(np.frombuffer(sketches[k], np.uint8)[None], s.shape[1])
-                for y in own[possible(x, n[k], s, n[own], percent)]:
-                    yield min(ids[k], ids[y]), max(ids[k], ids[y])
+            mine = bits[int(width[k])][row[k]][None]
+            for w in set(width[near].tolist()):
+                some = near[width[near] == w]
+                for y in some[possible(mine, n[k], fold(bits[w][row[some]], mine.shape[2]), n[some], percent)]:
+                    if min(tokens[k] & tokens[y]) == token:
+                        yield min(ids[k], ids[y]), max(ids[k], ids[y])
 
     def run(batches):
-        names, at, group = ("id", "n", "component", "sketch"), None, None
-        for batch in batches:
-            columns = {k: batch.column(k).to_pylist() for k in (*names, "token", "i", "j")}
-            out = []
-            for k in range(batch.num_rows):
-                key = columns["token"][k], columns["i"][k], columns["j"][k]
-                if key != at:
-                    if at is not None:
-                        out.extend(pairs_of(group))
-                    at, group = key, {name: [] for name in names}
-                for name in names:
-                    group[name].append(columns[name][k])
+        for key, group in _grouped(batches, ("token", "i", "j"), ("id", "n", "component", "sketch", "tokens")):
+            if out := list(pairs_of(key[0], group)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").unionByName(few).unionByName(vague).distinct()
+
+
+def _grouped(batches, keys: tuple[str, ...], names: tuple[str, ...]):
+    """(key, columns of its rows) of each run of rows with equal keys."""
+    at, group = None, None
+    for batch in batches:
+        columns = {k: batch.column(k).to_pylist() for k in (*keys, *names)}
+        for k in range(batch.num_rows):
+            key = tuple(columns[x][k] for x in keys)
+            if key != at:
+                if at is not None:
+                    yield at, group
+                at, group = key, {name: [] for name in names}
+            for name in names:
+                group[name].append(columns[name][k])
+    if at is not None:
+        yield at, group
+
+
+def _loose_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one group, different components and like sizes that their outlines allow. A group is dealt over cells of two blocks."""
+    n_blocks = F.ceil(F.col("all") / F.lit(float(BLOCK))).cast("int")
+    mine = F.pmod(F.hash("id"), n_blocks)
+    cells = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
+    dealt = rows.select("token", "id", "n", "component", F.explode(cells).alias("cell")).select("token", "cell.i", "cell.j", "id", "n", "component").join(classes.select("id", "outline"), "id")
+
+    def run(batches):
+        for _, g in _grouped(batches, ("token", "i", "j"), ("id", "n", "component", "outline")):
+            n, ids, component = (np.array(g[k]) for k in ("n", "id", "component"))
+            order = np.argsort(n, kind="stable")
+            n, ids, component, outlines = n[order], ids[order], component[order], [g["outline"][k] for k in order]
+            width = np.array([2 * len(x) for x in outlines])
+            out, counts = [], {}
+            for k in range(len(ids) - 1):
+                cells = int(width[k])
+                if cells not in counts:  # this width and the next, at this width
+                    counts = {cells: {w: (np.flatnonzero(width == w), unfold([x for x, v in zip(outlines, width, strict=True) if v == w], cells)) for w in {*width[k:].tolist()} if w <= 2 * cells}}
+                last = np.searchsorted(n, n[k] * 100 // percent, side="right")
+                own, table = counts[cells][cells]
+                me = table[np.searchsorted(own, k)]
+                for at, table in counts[cells].values():
+                    lo, hi = np.searchsorted(at, [k + 1, last])
+                    near = at[lo:hi]
+                    keep = component[near] != component[k]
+                    near, some = near[keep], table[lo:hi][keep]
+                    out += [(min(ids[k], ids[y]), max(ids[k], ids[y])) for y in near[conceivable(me, n[k], some, n[near], percent)]]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
-        if at is not None and (out := list(pairs_of(group))):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -286,10 +396,10 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     """
     spark = tuned(docs.sparkSession)
     sets = read(docs, words)
-    own = sets.where("kind = 0").select("doc_id", "key", "n", "sketch")
+    own = sets.where("kind = 0").drop("kind")
     counted = sets.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     often = counted.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).select("key").toArrow().column(0).to_numpy()
-    classes = materialise(own.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")), "classes")
+    classes = materialise(own.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch"), F.min("outline").alias("outline")), "classes", narrow=1)
     grouped = groups(index(docs, np.sort(often.view(np.uint64)), words, percent), classes)
     links = verify(docs, first_pairs(grouped, classes, percent), words, percent)
     more = across_pairs(grouped, classes, components(links), percent)
@@ -302,7 +412,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component (or null). A Bloom filter of the ids that go lets most
     rows pass where they are; only the others are joined."""
-    gone = materialise(join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    gone = materialise(join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "gone", narrow=1)
     maybe, sure = among(docs, gone), among(docs, gone, inside=False)
     return sure.unionByName(maybe.join(gone, F.col("doc_id") == F.col("id"), "left_anti"))
 

@@ -75,7 +75,7 @@ def _fold(units: Column, seed: int) -> Column:
 
 def mix_sizes(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = 17) -> DataFrame:
     """doc_id, source, size, source_size, target and copies, of rows (doc_id, source, size) that are cheap to read again."""
-    sources = materialise(targets(sizes, weights, share, most), "sources")
+    sources = materialise(targets(sizes, weights, share, most), "sources", narrow=1)
     n_sources, longest = sources.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     small = F.broadcast(sources) if n_sources <= BROADCAST_SOURCES else sources
     rate = F.col("target") / F.col("source_size")
@@ -93,7 +93,7 @@ def mix_sizes(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
         unit = F.struct(F.xxhash64("doc_id", "size", F.lit(depth)).alias("at"), "doc_id", "size", "words", "sure")
         block = F.pmod(F.xxhash64("doc_id", F.lit(seed + depth)), own).alias("block")
         folded = left.groupBy(*of, block).agg(F.sort_array(F.collect_list(unit)).alias("units"))
-        folded = materialise(folded.select(*of, _fold(F.col("units"), seed + depth).alias("f")).select(*of, "f.live", "f.done"), "fold")
+        folded = materialise(folded.select(*of, _fold(F.col("units"), seed + depth).alias("f")).select(*of, "f.live", "f.done"), "fold", narrow=1)
         decided = folded.select(*of, F.explode("done").alias("d"))
         out.append(decided.select("d.doc_id", "source", "d.size", "source_size", "target", "d.copies"))
         left = folded.select(*of, "live.*")
@@ -127,7 +127,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Where rows are alike in doc_id, source and size, one of them
     stands for all and is taken as often as they are together."""
     key = ["doc_id", "source", "size"]
-    copies = materialise(mix_sizes(materialise(sizes_of(docs), "sizes")).groupBy(*key).agg(F.count("*").alias("rows"), F.sum("copies").cast("int").alias("copies")), "copies")
+    copies = materialise(mix_sizes(materialise(sizes_of(docs), "sizes")).groupBy(*key).agg(F.count("*").alias("rows"), F.sum("copies").cast("int").alias("copies")), "copies", narrow=1)
     named = [F.col(c).alias(f"_{c}") for c in (*key, "copies")]
     sized = docs.withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     if copies.where("rows > 1").limit(1).count():

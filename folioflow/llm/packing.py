@@ -241,7 +241,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end
     pieces = materialise(cut(docs, capacity, path, end_id), "pieces")
     counts = pieces.groupBy("chunk", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = materialise(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "bases")
+    bases = materialise(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "bases", narrow=1)
     made = plan({r.length: r.n for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)  # one row a length
     slots = np.array(sorted(made.slots), np.int64).reshape(-1, 4)
     keys = slots[:, 0] << 48 | slots[:, 1]

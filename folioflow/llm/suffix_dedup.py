@@ -263,7 +263,7 @@ def spans_of(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """doc, start and stop of removed bytes; spans may overlap. texts: docs with doc_id and text among their columns, dealt by
     doc_id; the caller joins all their columns once more, so that Spark deals them out only once."""
     blocks = find_blocks(docs).repartition("key").sortWithinPartitions("key", "block", "doc", "at")
-    found = materialise(blocks.mapInArrow(_resolve, "kind long, doc long, start long, stop long, key long"), "blocks")
+    found = materialise(blocks.mapInArrow(_resolve, "kind long, doc long, start long, stop long, key long"), "blocks", narrow=4)
     asked = found.where("kind = 1")
     hot = asked.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
     asked = asked.join(hot, "key", "left").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "start", "stop", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("_asked")).withColumnRenamed("doc_id", "_doc")

@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Lex
                 counts.clear()
         yield from out()
 
-    words = materialise(doc_bytes(docs).mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "words")
+    words = materialise(doc_bytes(docs).mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "words", narrow=1)
     n_t, n_c = words.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
     if not n_t:
         return Lexicon({}, {}, 1.0, prior)

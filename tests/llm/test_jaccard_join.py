@@ -55,9 +55,11 @@ def corpus(rng):
 
 
 def test_equals_all_pairs(spark, monkeypatch):
-    for seed, block in ((1, 1024), (2, 3)):
+    for seed, block, loose in ((1, 1024, 3), (2, 3, 0), (3, 3, 1000)):
+        monkeypatch.setattr(jaccard_join, "LOOSE", loose)
         monkeypatch.setattr(jaccard_join, "BLOCK", block)
         monkeypatch.setattr(jaccard_join, "BESIDE", block)
+        monkeypatch.setattr(jaccard_join, "SMALL", 24 if seed == 1 else 2)
         monkeypatch.setattr(jaccard_join, "FREQUENT", 8 if seed == 1 else 1000)
         rows = corpus(random.Random(seed))
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in join(frame(spark, rows)).collect()}
