@@ -594,6 +594,68 @@ def _(s, d):
     return pipeline.parsed_only(inputs.md(s, d))
 
 
+def _parts(s, d):
+    """Documents as chapters of their source; some have no text."""
+    rows = inputs.md(s, d).join(table(s, d, "documents").select("doc_id", "source"), "doc_id")
+    broken = F.col("doc_id") % 50 == 7
+    return rows.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.when(~broken, F.col("md")).alias("md"), F.when(broken, "no text").alias("error"))
+
+
+@query("x7_chapters")
+def _(s, d):
+    return pipeline.run_chapters(_parts(s, d), _work(s))["zh"]
+
+
+@query("x7_failures", "select source as doc_id, doc_id as ord, 'chapter' as kind, 'T' || doc_id as name, 'no text' as error from documents where doc_id % 50 = 7")
+def _(s, d):
+    parts = _parts(s, d).where("md is null or ord % 97 = 0")
+    return pipeline.run_chapters(parts, _work(s))["failures"]
+
+
+@query("x1_failed_requests", f"with {_ENTRIES_SQL} select doc_id, case when doc_id % 3 = 0 then 'ValueError()' end as error from entries group by doc_id")
+def _(s, d):
+    from folioflow.plans.translate import call
+
+    def sometimes(raw: str) -> str:
+        if raw.startswith("0"):
+            raise ValueError
+        return raw
+
+    asked = _entries(s, d).select("doc_id").distinct().select("doc_id", (F.col("doc_id") % 3).cast("string").alias("raw"))
+    return call(asked, sometimes, ["doc_id"]).select("doc_id", "error")
+
+
+@query("x3_fallback", f"with {_ENTRIES_SQL} select doc_id, idx, 'zh:' || content as zh from entries where idx % 10 = 0")
+def _(s, d):
+    """Single requests for the paragraphs whose markers were lost."""
+    from folioflow.plans.translate import call
+
+    entries = _entries(s, d)
+    lost = B.missing(entries, entries.where("idx % 10 <> 0"))
+    return call(lost.select("doc_id", "idx", F.col("content").alias("raw")), echo, ["doc_id", "idx"]).select("doc_id", "idx", F.col("raw").alias("zh"))
+
+
+@query("s1_discover")
+def _(s, d):
+    return files.discover(s, d, "*.parquet").select("relative", "doc_id", "length")
+
+
+@query("s2_outlines")
+def _(s, d):
+    def reader(content: bytes):
+        return len(content), [(1, "a", 1), (2, "b", 2)]
+
+    return files.outlines(files.discover(s, d, "r*.parquet"), reader)
+
+
+@query("s3_parse")
+def _(s, d):
+    def parser(content: bytes) -> str:
+        return f"{len(content)} bytes"
+
+    return files.parse(files.discover(s, d, "r*.parquet"), parser)
+
+
 # --- progress ---
 
 

@@ -190,3 +190,12 @@ def test_pipeline_resumes(spark, tmp_path):
     docs = spark.createDataFrame([(1, "one\n\nthree")], "doc_id long, md string")
     second = pipeline.run(docs, f"file://{tmp_path}/b", translator=lambda raw: echo(raw).replace("zh:", "new:"), known=known)
     assert second["zh"].first().md == "zh:one\n\nnew:three"
+
+
+def test_chapters_merge_in_order_and_fail_alone(spark, tmp_path):
+    parts = [(1, 1, "Two: b", "# 2.1 B\n\n![](y/p.png)\n\n# 2.1 again", None), (1, 0, "One", "# 1.1 A\n\n![](x/p.png)", None), (1, 2, "Three", None, "broken")]
+    got = pipeline.run_chapters(spark.createDataFrame(parts, "doc_id long, ord long, title string, md string, error string"), f"file://{tmp_path}/w")
+    zh, en = got["zh"].first().md, got["en"].first().md
+    assert en.index("A") < en.index("(book.assets/0_image-1.png)") < en.index("B") < en.index("(book.assets/1_image-1.png)") < en.index("<!-- this chapter failed -->")
+    assert sorted(r.name for r in got["parts"].collect()) == ["00_One.md", "01_Two_ b.md", "02_Three.md"] and zh.count("zh:") == 5
+    assert [(r.name, r.error) for r in got["failures"].collect()] == [("Three", "broken")]
