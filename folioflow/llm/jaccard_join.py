@@ -414,7 +414,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     rows pass where they are; only the others are joined."""
     gone = materialise(join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "gone", narrow=1)
     maybe, sure = among(docs, gone), among(docs, gone, inside=False)
-    return sure.unionByName(maybe.join(gone, F.col("doc_id") == F.col("id"), "left_anti"))
+    return sure.unionByName(maybe.join(gone.withColumnRenamed("id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,12 @@ def test_no_rows_and_repeated_rows(spark):
     assert join(frame(spark, [])).collect() == []
     got = join(frame(spark, [(3, "a b c d e f")] * 2 + [(2, "A b c d e F"), (1, None), (0, "")])).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(0, 0, 0), (1, 0, 1), (2, 2, 2), (3, 2, 2), (3, 2, 2)]
+
+
+def test_representatives_are_whole_rows(spark):
+    rows = corpus(random.Random(4)) + [(None, "no id"), (None, "no id")]
+    docs = frame(spark, rows)
+    got = jaccard_join.representatives(docs)
+    assert got.columns == docs.columns
+    want = {c for _, c in brute([r for r in rows if r[0] is not None]).values()}
+    assert sorted((r.doc_id for r in got.collect()), key=lambda d: -1 if d is None else d) == [None, None, *sorted(want)]
