@@ -109,11 +109,12 @@ def frequent(texts: DataFrame, path: str) -> dict[bytes, int]:
                 top = [(k, c) for k, c in Counter(segments(t)).most_common(PER_DOC) if len(k) <= CACHE_KEY_BYTES]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.binary()), pa.array([c for _, c in top], pa.int64())], names=["key", "n"])
 
-    total: Counter = Counter()
-    for key, c in drawn.mapInArrow(count, "key binary, n long").toLocalIterator():
-        total[bytes(key)] += c
-    keys = [k for k, _ in total.most_common(TABLE)]
-    return dict(zip(keys, lengths(keys, path), strict=True)) if keys else {}
+    counted = drawn.mapInArrow(count, "key binary, n long").toArrow()  # at most about SAMPLE_DOCS * PER_DOC rows
+    if not counted.num_rows:
+        return {}
+    total = counted.group_by("key").aggregate([("n", "sum")]).sort_by([("n_sum", "descending"), ("key", "ascending")])
+    keys = total["key"][:TABLE].to_pylist()
+    return dict(zip(keys, lengths(keys, path), strict=True))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
