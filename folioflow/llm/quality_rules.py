@@ -16,7 +16,8 @@ LEVEL, CHUNK = 3, 4096
 #: From so many bytes on, the least and the largest ratio of compressed to plain bytes of ordinary prose. Headers weigh on
 #: short texts, so they have no upper limit; longer texts repeat more of their words, so the lower limit falls.
 BANDS = ((0, 0.36, 9.0), (200, 0.34, 0.95), (500, 0.32, 0.85), (1_000, 0.30, 0.78), (4_000, 0.27, 0.74), (20_000, 0.24, 0.72), (100_000, 0.20, 0.72))
-#: The same for a full chunk, and the share of full chunks outside that rejects a document.
+#: The same for a chunk, and the share of chunks outside that rejects a document. A text that doesn't end with a chunk has
+#: its final CHUNK bytes as one more.
 CHUNK_BAND, BAD_CHUNKS = (0.27, 0.74), 0.34
 SYMBOLS = [bytes([c]) for c in b"#*$%&|<>"]
 
@@ -57,8 +58,11 @@ def measure(text: bytes, zip_: zstandard.ZstdCompressor) -> tuple:
     symbols, repeated = sum(map(text.count, SYMBOLS)), repeated_words(words)
     failed = len(words) < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * len(words)
     ratio = len(zip_.compress(text)) / len(text) if text else 1.0
-    n_chunks = len(text) // CHUNK
-    bad = sum(not CHUNK_BAND[0] <= len(zip_.compress(text[k * CHUNK : (k + 1) * CHUNK])) / CHUNK <= CHUNK_BAND[1] for k in range(n_chunks))
+    starts = [*range(0, len(text) - CHUNK + 1, CHUNK)]
+    if starts and len(text) % CHUNK:  # the tail, as the last chunk's worth of bytes
+        starts.append(len(text) - CHUNK)
+    n_chunks = len(starts)
+    bad = sum(not CHUNK_BAND[0] <= len(zip_.compress(text[k : k + CHUNK])) / CHUNK <= CHUNK_BAND[1] for k in starts)
     low, high = next((lo, hi) for n, lo, hi in reversed(BANDS) if len(text) >= n)
     kept = not failed and low <= ratio <= high and (not n_chunks or bad <= BAD_CHUNKS * n_chunks)
     return len(words), chars, symbols, duplicate_lines(text), repeated, failed, kept, ratio, bad, n_chunks

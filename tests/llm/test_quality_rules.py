@@ -38,6 +38,19 @@ def test_bands_reject_noise_and_loops_and_keep_prose(spark):
     assert got == {0: False, 1: False, 2: True}
 
 
+def test_tail_after_the_last_full_chunk_is_judged(spark):
+    import random
+
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    prose = " ".join(rng.choice(vocabulary) for _ in range(3000))
+    tail = "".join(f"buy now cheap {k}\n" for k in range(400))[:4090]
+    made = [prose[:4096] + tail, prose[:8186], prose[:4096], prose[:4095], prose[:4096] + tail[:1]]
+    got = {r.doc_id: r for r in assess(frame(spark, enumerate(made))).collect()}
+    assert not got[0].base_failed and 0.27 <= got[0].ratio <= 0.74
+    assert [(got[k].n_chunks, got[k].bad_chunks, got[k].kept) for k in range(5)] == [(2, 1, False), (2, 0, True), (1, 0, True), (0, 0, True), (2, 0, True)]
+
+
 def test_no_rows_and_repeated_rows(spark):
     assert assess(frame(spark, [])).collect() == []
     assert len(assess(frame(spark, [(1, "a b")] * 3)).collect()) == 3
