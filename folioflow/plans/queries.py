@@ -655,7 +655,7 @@ def _(s, d):
     def reader(content: bytes):
         return len(content), [(1, "a", 1), (2, "b", 2)]
 
-    return files.outlines(files.discover(s, d, "r*.parquet"), reader)
+    return files.outlines(files.discover(s, d, "*.parquet"), reader)
 
 
 @query("s3_parse")
@@ -663,7 +663,7 @@ def _(s, d):
     def parser(content: bytes) -> str:
         return f"{len(content)} bytes"
 
-    return files.parse(files.discover(s, d, "r*.parquet"), parser)
+    return files.parse(files.discover(s, d, "*.parquet"), parser)
 
 
 # --- progress ---
