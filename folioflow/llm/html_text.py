@@ -25,16 +25,21 @@ SAMPLE = 300
 HIDDEN, EPOCHS, RATE, BATCH = 16, 12, 0.01, 32
 PATH, WORDS, NUMBERS = 64, 32, 9
 
-# The elements of HTML whose content is no text, that end no block, and that never close.
-SILENT = "script style noscript template svg math iframe object select textarea button head title canvas audio video".split()
+# The elements of HTML whose content is no markup and no text, those whose content is no text of the page if
+# they are closed, what a head may hold, and the elements that end no block, and that never close.
+RAW = frozenset("script style textarea title".split())
+SILENT = (*sorted(RAW), *"noscript template svg iframe select button audio video".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noscript template".split()) | RAW
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= frozenset("svg object canvas math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a new one of the same kind, or of those named, closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Blocks that end an open paragraph.
 AFTER_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(SILENT) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(SILENT) + r")(?![\w:.-])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in SILENT}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PIECES = re.compile(r"[a-z]+")
 
@@ -51,11 +56,16 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order: text between tags that end a block, references decoded, white space as one space."""
+    """Leaf blocks in page order: text between tags that end a block, references decoded, white space as one space.
+
+    Only script, style, textarea and title run to the end of the page where they aren't closed; a head ends where its body
+    begins, with an end tag or without.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     links = linked = at = 0
+    head, open_ended = False, set()
 
     def end() -> None:
         nonlocal linked
@@ -66,25 +76,41 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in _TAG.finditer(page):
+    while m := _TAG.search(page, at):
         if m.start() > at:
             raw = page[at : m.start()]
             parts.append(raw)
+            head = head and raw.isspace()
             if links:
                 linked += len(raw)
         at = m.end()
-        name = m[3]
+        name, close, own = (m[1], "", m[2]) if m[1] else (m[4], m[3], m[5])
         if not name:
             continue
         name = name.lower()
+        if m[1] and name not in open_ended and not (name == "svg" and own.endswith("/")):
+            if stop := _END[name].search(page, at):
+                at = stop.end()
+                continue
+            if name in RAW:
+                at = len(page)
+                break
+            open_ended.add(name)
+        if name == "head":
+            end()
+            head = not close
+            continue
+        if head and (close or name in IN_HEAD):
+            continue
+        head = False
         if name in INLINE:
             if name == "br":
                 parts.append(" ")
             elif name == "a":
-                links = 0 if m[2] else 1
+                links = 0 if close else 1
             continue
         end()
-        if m[2]:
+        if close:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
@@ -93,8 +119,8 @@ def blocks(page: str) -> list[Block]:
         closes = CLOSES.get(name)
         while stack and (closes and stack[-1][0] in closes or stack[-1][0] == "p" and name in AFTER_P):
             stack.pop()
-        if name not in VOID and not m[4].endswith("/"):
-            names = tuple(w for a in _NAMES.findall(m[4]) for w in _PIECES.findall("".join(a).lower())) if m[4] else ()
+        if name not in VOID and not own.endswith("/"):
+            names = tuple(w for a in _NAMES.findall(own) for w in _PIECES.findall("".join(a).lower())) if own else ()
             stack.append((name, names))
     if at < len(page):
         parts.append(page[at:])

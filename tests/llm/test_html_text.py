@@ -54,6 +54,17 @@ def test_blocks_decode_and_collapse():
     assert got == ["a < b", "c de f", "g h", "i", "j", "k"]
 
 
+def test_what_is_left_open_drops_no_text():
+    got = lambda page: [b.text for b in blocks(page)]
+    assert got("<html><head><meta charset=x><title>t</title><body><article><p>a</p></article>") == ["a"]
+    assert got("<head><title>t</title><script>x</script><link href=y><p>a<p>b") == ["a", "b"]
+    assert got("<head> <style>s</style> </head><header>h</header><p>a") == ["h", "a"]
+    assert got("<p>a <svg class='i'/> b<p>c <svg><text>no</text></svg>d<p>e") == ["a b", "c d", "e"]
+    assert got("<p>a<svg><p>b") == got("<p>a<p>b<button>") == ["a", "b"]
+    assert got("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> <object>o</object> <canvas>k</canvas> holds<p>b") == ["so x=1 o k holds", "b"]
+    assert got("<p>a<script>b<p>c") == ["a"] and got("<p>a<title>b<p>c") == ["a"] and got("<button-bar>a</button-bar>b") == ["a", "b"]
+
+
 def test_gradients():
     """The labeller's gradient against differences."""
     rng = np.random.default_rng(3)
