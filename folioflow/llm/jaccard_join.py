@@ -1,34 +1,39 @@
 """Near duplicates by a Jaccard join of word shingles with several global token orders.
 
 Under any order of all tokens, two sets with similarity t or more share a token among the first n - ceil(t n) + 1 of each.
-The first order puts tokens that many documents share last; its prefixes are indexed across the cluster. Other orders, by
-other hashes, are compared where both sets are at hand: a candidate goes on to exact verification only if its prefixes meet
-under every one of them.
+The first order puts tokens that many documents share last; its prefixes are indexed across the cluster, and sets that
+share none of them never meet. Three more orders, by other hashes, intersect what is left, before any text moves: the
+prefixes of a class under each of them are kept as 16 bits a token (`marks`). Of two classes they say how many tokens are
+common up to where both prefixes reach, hence how many can be at most; a candidate must be possible under every order.
 
 Equal sets are one class. Groups of classes behind a prefix token never become all their pairs:
- 1. each class is paired with its group's least one; a bitmap sketch bounds the overlap from above and drops pairs that
-    can't be similar; the rest is verified on whole texts, and components are formed;
+ 1. each class is paired with one of its group; the orders, and then a count sketch that bounds the overlap from above, drop
+    pairs that can't be similar; the rest is verified on whole texts, and components are formed;
  2. only pairs across components are left. In a group, the largest component's classes (dealt over blocks) meet all others,
-    and these meet each other; what the sketches can't drop is verified.
+    and these meet each other; what orders and sketches can't drop is verified.
 So each similar pair of classes is verified or joined by verified ones: components are exact.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import doc_bytes, documents, materialise, tuned
-from folioflow.llm.components import among, components
+from folioflow.llm.common import cores, discard, doc_bytes, documents, lean, materialise, tuned
+from folioflow.llm.components import among, bloom, components, hashed, hits
 from folioflow.llm.shingles import mix, shingle_set
 
 WORDS, PERCENT = 5, 80
 #: Seeds of the orders besides the first.
 ORDERS = (1, 2, 3)
-#: Sets with a token from which it counts as frequent, frequent tokens at most (8 MB; the commonest), shingles counted at once.
-FREQUENT, MOST_FREQUENT, AT_ONCE = 32, 1_000_000, 4_000_000
+#: Sets with a token from which it counts as frequent, frequent tokens at most (9 MB; the commonest), shingles counted at once.
+FREQUENT, MOST_FREQUENT, AT_ONCE = 32, 1_000_000, 1_000_000
+#: Rows of a frequent token that one place of the index takes, about.
+PLACE = 4_096
 #: Classes of a block, and members verified beside one leader in one place.
 BLOCK, BESIDE = 1_024, 256
 #: Classes of a group whose pairs are written out, which costs less than to deal out its sketches.
@@ -49,6 +54,26 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def marks(tokens: np.ndarray, percent: int = PERCENT) -> bytes:
+    """The first tokens under each of ORDERS, in order, as the high 16 bits of the hashes that order them."""
+    p = prefix_length(len(tokens), percent)
+    return b"".join(np.sort(np.partition(mix(tokens, k), p - 1)[:p] >> np.uint64(48)).astype("<u2").tobytes() for k in ORDERS) if p else b""
+
+
+def meet(x: bytes, nx: int, y: bytes, ny: int, percent: int = PERCENT) -> bool:
+    """Whether the marks of sets of nx and ny tokens allow the similarity under every order. Before the place that both
+    prefixes reach, all tokens of both are known; beyond it, at most the rest of the smaller rest can be common."""
+    for u, v in zip(np.frombuffer(x, "<u2").reshape(len(ORDERS), -1), np.frombuffer(y, "<u2").reshape(len(ORDERS), -1), strict=True):
+        reach = min(int(s[-1]) if len(s) < n else 1 << 16 for s, n in ((u, nx), (v, ny)))
+        u, v = u[: np.searchsorted(u, reach)], v[: np.searchsorted(v, reach)]
+        both = min(nx - len(u), ny - len(v))
+        if len(u) and len(v):
+            both += min(int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) for a, b in ((u, v), (v, u)))
+        if 100 * both < percent * (nx + ny - both):
+            return False
+    return True
+
+
 def sketch(tokens: np.ndarray) -> bytes:
     """How many tokens fall in each cell, 3 for more; 1 to 2 cells a token. Two bitmaps: the counts' high and low bits."""
     cells = 64
@@ -112,160 +137,202 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _key(tokens: np.ndarray) -> int:
-    """Of a set, the same for equal ones."""
-    total = np.bitwise_xor.reduce(mix(tokens, 8)) ^ mix(np.array([tokens.sum(dtype=np.uint64)]), 9)[0] if len(tokens) else np.uint64(0)
-    return int(np.int64(np.uint64(total)))
+def _keys(tokens: np.ndarray) -> tuple[int, int]:
+    """Of a set, 128 bits that are the same for equal ones."""
+    digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def read(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Two kinds of rows: of each document its class key, size and sketch; and tokens that sets of one task share."""
+    """Two kinds of rows: of each document its class keys and size; and tokens that sets of one task share."""
 
     def run(batches):
-        held: dict[tuple[int, int], np.ndarray] = {}
-        size, names = 0, ["kind", "doc_id", "key", "n", "sketch", "outline"]
+        seen: set[tuple[int, int]] = set()
+        sets: list[np.ndarray] = []
+        size, names = 0, ["kind", "doc_id", "key", "key2", "n"]
 
         def shared():
-            tokens, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
+            tokens, n = np.unique(np.concatenate(sets), return_counts=True)
             tokens, n = tokens[n > 1], n[n > 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), pa.int64()), pa.array(_signed(tokens)), pa.array(n), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), pa.int64()), pa.array(_signed(tokens)), pa.nulls(len(n), pa.int64()), pa.array(n)], names=names)
 
         for batch in batches:
-            keys, sizes, sketches, outlines = [], [], [], []
+            keys, sizes = [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, words)
-                key = (_key(s), len(s))
-                keys.append(key[0])
+                keys.append(_keys(s))
                 sizes.append(len(s))
-                sketches.append(sketch(s))
-                outlines.append(outline(s))
-                if len(s) and key not in held:
-                    held[key] = s
+                if len(s) and keys[-1] not in seen:
+                    seen.add(keys[-1])
+                    sets.append(s)
                     size += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(outlines, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), batch.column(0), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), pa.array(sizes, pa.int64())], names=names)
             if size > AT_ONCE:
                 yield shared()
-                held.clear()
+                seen.clear()
+                sets.clear()
                 size = 0
-        if held:
+        if sets:
             yield shared()
 
-    return materialise(doc_bytes(docs).mapInArrow(run, "kind int, doc_id long, key long, n long, sketch binary, outline binary"), "sets", narrow=4)
+    return materialise(doc_bytes(docs).mapInArrow(lean(run), "kind int, doc_id long, key long, key2 long, n long"), "sets")
 
 
-def index(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """token, key and n of all prefixes under the first order, where sets of two classes or more share the token."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The commonest tokens that FREQUENT sets or more share, sorted; how common each is, in powers of two; and over how many
+    places its rows are dealt."""
+    counted = sets.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    table = counted.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).toArrow()
+    tokens, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], np.log2(n[order].clip(1)).astype(np.uint8) + 1, -(-n[order] // PLACE)
+
+
+def index(docs: DataFrame, often: tuple, mb: float, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """token, n and key of all prefixes under the first order, where sets of two classes or more share the token (or it is
+    dealt over several places)."""
+    often, common, places = often
+    split = places > 1
+    sent = docs.sparkSession.sparkContext.broadcast((often, common, often[split], places[split]))
 
     def prefixes(batches):
-        often = sent.value
+        often, common, hot, places = sent.value
+
+        def find(table, s):
+            at = np.minimum(np.searchsorted(table, s), len(table) - 1)
+            return at, table[at] == s
+
         for batch in batches:
-            seen, tokens, keys, sizes = set(), [], [], []
+            seen, tokens, salts, sizes, keys = set(), [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, words)
-                key = _key(s)
-                if not len(s) or (key, len(s)) in seen:
+                key, n = _keys(s), len(s)
+                if not n or key in seen:
                     continue
-                seen.add((key, len(s)))
-                p = prefix_length(len(s), percent)
+                seen.add(key)
+                p = prefix_length(n, percent)
                 if len(often):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    last = often[at] == s
-                    s = np.concatenate([s[~last], s[last]]) if last.any() else s
-                tokens.append(s[:p])
-                keys.append(np.full(p, key, np.int64))
-                sizes.append(np.full(p, len(s), np.int64))
+                    at, known = find(often, s)
+                    if known.any():
+                        s = s[np.argsort(np.where(known, common[at], 0), kind="stable")]
+                s, salt = s[:p], np.zeros(p, np.int64)
+                if len(hot):
+                    at, known = find(hot, s)
+                    salt[known] = 1 + key[1] % places[at[known]]
+                tokens.append(s)
+                salts.append(salt)
+                sizes.append(np.full(p, n, np.int64))
+                keys.append(np.full(p, key[0], np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["token", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), *(pa.array(np.concatenate(c)) for c in (salts, sizes, keys))], names=["token", "salt", "n", "key"])
 
-    def meet(batches):
+    def meeting(batches):
         """Sorted rows; of each token all distinct rows but lone ones. The first row of a token waits for a second."""
-        last = None  # token, key, n, whether it is out
+        last, out = None, False  # the last row, and whether it is out
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
             if last is not None:
-                rows = np.concatenate([[last[:3]], rows])
-            new = np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]
-            rows = rows[new]
-            same = rows[1:, 0] == rows[:-1, 0]
-            keep = np.r_[same, False] | np.r_[False, same]
-            if last is not None:
-                keep[0] &= not last[3]
-                out = bool(keep[-1]) if len(rows) > 1 else last[3]
-            else:
-                out = bool(keep[-1])
-            last = (*rows[-1].tolist(), out)
+                rows = np.concatenate([last[None], rows])
+            rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]]
+            same = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
+            keep = np.r_[same, False] | np.r_[False, same] | (rows[:, 1] > 0)
+            keep[0] &= not out
+            out = bool(keep[-1]) or (out and len(rows) == 1)
+            last = rows[-1]
             rows = rows[keep]
             if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], names=["token", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in (0, 2, 3)], names=["token", "n", "key"])
 
-    rows = doc_bytes(docs).mapInArrow(prefixes, "token long, key long, n long")
-    return materialise(rows.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(meet, "token long, key long, n long"), "index", narrow=4)
+    rows = doc_bytes(docs).mapInArrow(lean(prefixes), "token long, salt long, n long, key long")
+    dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "key")
+    return materialise(dealt.mapInArrow(lean(meeting), "token long, n long, key long"), "index", mb, 2 * cores(docs.sparkSession))
 
 
 def groups(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """token, id and n, one token for each distinct set of classes that tokens stand for."""
-    marked = shared.groupBy("token").agg(F.sum(F.xxhash64("key", "n").cast("decimal(20,0)")).alias("mark"), F.count("*").alias("size"))
-    one = marked.groupBy("mark", "size").agg(F.min("token").alias("token"))
-    return materialise(shared.join(one.select("token"), "token").join(classes.select("key", "n", "id"), ["key", "n"]).select("token", "id", "n"), "groups", narrow=1)
+    """token, id and n, one token for each distinct set of classes that tokens stand for; and of each group one class, with
+    its size, as leader and n_leader: the one whose hash is least, so that groups that overlap mostly agree."""
+    mb, few = 24 * shared.count() / 1e6, cores(shared.sparkSession)
+    marked = shared.groupBy("token").agg(F.sum(F.xxhash64("key", "n").cast("decimal(20,0)")).alias("mark"), F.count("*").alias("size"), F.min(F.struct("key", "n")).alias("least"))
+    one = marked.where("size > 1").groupBy("mark", "size").agg(F.min(F.struct("token", "least")).alias("m")).select("m.token", F.col("m.least.key").alias("key"), F.col("m.least.n").alias("n"))
+    leaders = materialise(one.join(classes.select("key", "n", "id"), ["key", "n"]).select("token", F.col("id").alias("leader"), F.col("n").alias("n_leader")), "leaders", mb)
+    out = materialise(shared.join(leaders, "token").join(classes.select("key", "n", "id"), ["key", "n"]).select("token", "id", "n", "leader", "n_leader"), "groups", mb, few)
+    discard(leaders)
+    return out
+
+
+def fingerprints(docs: DataFrame, ids: DataFrame, mb: float, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """id, n, marks, sketch and outline of the documents whose doc_id is among ids (perhaps of some more)."""
+    filter_ = bloom(ids)
+    sent = docs.sparkSession.sparkContext.broadcast(filter_)
+    rows, names = hashed(doc_bytes(docs), filter_)
+
+    def run(batches):
+        for batch in batches:
+            keep = hits(batch, sent.value, names)
+            if not keep.any():
+                continue
+            batch = batch.filter(pa.array(keep))
+            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            columns = [[len(s) for s in sets], *([f(s) for s in sets] for f in (lambda s: marks(s, percent), sketch, outline))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 3), strict=True))], names=["id", "n", "marks", "sketch", "outline"])
+
+    made = rows.mapInArrow(lean(run), "id long, n long, marks binary, sketch binary, outline binary")
+    return materialise(made.dropDuplicates(["id"]), "fingerprints", mb, cores(docs.sparkSession))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, n_pairs: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Those of pairs (a, b) that are similar, by their whole texts. Texts come to the side of a, a few hundred b a place."""
-    pairs = materialise(pairs, "pairs", narrow=1)
     places = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(BESIDE))).cast("int").alias("places"))
     leaders = places.select(F.col("a").alias("id"), F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("role"))
     members = pairs.join(places, "a").select(F.col("b").alias("id"), F.col("a").alias("leader"), F.pmod(F.hash("b"), "places").alias("place"), F.lit(1).alias("role"))
-    roles = materialise(leaders.unionByName(members), "roles", narrow=1)
 
     def compare(batches):
-        leader, mine, firsts, done = None, None, (), set()
+        leader, mine, done = None, None, set()
         for batch in batches:
             out = []
             for who, role, doc, text in zip(*(batch.column(k).to_pylist() for k in ("leader", "role", "doc_id", "text")), strict=True):
                 if role == 0:
                     if who != leader:
                         leader, mine, done = who, shingle_set(text, words), set()
-                        firsts = [np.sort(mix(mine, k))[: prefix_length(len(mine), percent)] for k in ORDERS]
                 elif who == leader and doc not in done:
                     done.add(doc)
-                    other = shingle_set(text, words)
-                    p = prefix_length(len(other), percent)
-                    if all(len(np.intersect1d(f, np.sort(mix(other, k))[:p], assume_unique=True)) for k, f in zip(ORDERS, firsts, strict=True)) and linked(mine, other, percent):
+                    if linked(mine, shingle_set(text, words), percent):
                         out.append((leader, doc))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    texts = among(doc_bytes(docs), roles.select("id").distinct())
-    met = texts.join(roles, F.col("doc_id") == F.col("id")).select("leader", "place", "role", "doc_id", "text")
-    return materialise(met.repartition("leader", "place").sortWithinPartitions("leader", "place", "role", "doc_id").mapInArrow(compare, "a long, b long"), "links", narrow=4)
+    texts = among(doc_bytes(docs), pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    met = texts.join(leaders.unionByName(members), F.col("doc_id") == F.col("id")).select("leader", "place", "role", "doc_id", "text")
+    dealt = met.repartition("leader", "place").sortWithinPartitions("leader", "place", "role", "doc_id")
+    return materialise(dealt.mapInArrow(lean(compare), "a long, b long"), "links", 8 * n_pairs / 1e3, 2 * cores(docs.sparkSession))
 
 
-def _met(pairs: DataFrame, classes: DataFrame, what: str, check, percent: int) -> DataFrame:
+def _met(pairs: DataFrame, prints: DataFrame, what: str, check) -> DataFrame:
     """Those of pairs (a, b) whose columns `what` pass check(x, nx, y, ny)."""
-    left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(what).alias("xa"))
-    right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col(what).alias("xb"))
+    left = prints.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(what).alias("xa"))
+    right = prints.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col(what).alias("xb"))
 
     def run(batches):
         for batch in batches:
             keep = [bool(check(x, nx, y, ny)) for nx, x, ny, y in zip(*(batch.column(k).to_pylist() for k in ("na", "xa", "nb", "xb")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "xa", "nb", "xb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "xa", "nb", "xb").mapInArrow(lean(run), "a long, b long")
 
 
-def allowed(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Distinct pairs (a, b) that outlines, and then sketches, don't forbid: few get as far as the larger of the two."""
+def allowed(pairs: DataFrame, prints: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Distinct pairs (a, b) that none of the orders, and then not their sketches, forbid."""
 
-    def coarse(x, nx, y, ny):
-        cells = 2 * min(len(x), len(y))
-        return conceivable(unfold([x], cells)[0], nx, unfold([y], cells), np.int64(ny), percent)[0]
+    def ordered(x, nx, y, ny):
+        return meet(x, nx, y, ny, percent)
 
-    def fine(x, nx, y, ny):
+    def overlapping(x, nx, y, ny):
         w = min(len(x), len(y)) // 2
         return possible(fold(levels([x]), w), np.int64(nx), fold(levels([y]), w), np.int64(ny), percent)[0]
 
-    return _met(_met(pairs.distinct(), classes, "outline", coarse, percent), classes, "sketch", fine, percent)
+    return _met(_met(pairs.distinct(), prints, "marks", ordered), prints, "sketch", overlapping)
 
 
 def _alike(a: str, b: str, percent: int):
@@ -273,31 +340,31 @@ def _alike(a: str, b: str, percent: int):
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
-def first_pairs(grouped: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Each class beside the least of its group, unless their sizes or sketches forbid it."""
-    least = grouped.groupBy("token").agg(F.min(F.struct("id", "n")).alias("m")).select("token", F.col("m.id").alias("a"), F.col("m.n").alias("na"))
-    pairs = grouped.join(least, "token").where((F.col("a") != F.col("id")) & _alike("n", "na", percent))
-    return allowed(pairs.select("a", F.col("id").alias("b")), classes, percent)
+def first_pairs(grouped: DataFrame, prints: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Each class beside its group's leader, unless sizes, orders or sketches forbid it."""
+    pairs = grouped.where((F.col("leader") != F.col("id")) & _alike("n", "n_leader", percent))
+    return allowed(pairs.select(F.col("leader").alias("a"), F.col("id").alias("b")), prints, percent)
 
 
-def across_pairs(grouped: DataFrame, classes: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """All pairs of one group and different components that their sketches allow.
+def across_pairs(grouped: DataFrame, prints: DataFrame, labels: DataFrame, mb: float, percent: int = PERCENT) -> tuple[DataFrame, list[DataFrame]]:
+    """All pairs of one group and different components that orders and sketches allow; and the tables behind them.
 
-    Groups of up to SMALL give their pairs of like sizes as they are, which then meet the sketches. In larger ones without a
-    component of note most have little in common but a passage: outlines are dealt out, and the pairs that they leave meet
-    the sketches. Of the others the sketches themselves are dealt out, and each pair comes from the least of its groups.
+    Groups of up to SMALL give their pairs of like sizes as they are. In larger ones without a component of note most have
+    little in common but a passage: outlines are dealt out. Of the others the sketches themselves are dealt out, and each
+    pair comes from the least of its groups.
     """
-    rows = grouped.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = grouped.select("token", "id", "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
     bulk = parts.groupBy("token").agg(F.max(F.struct("size", "component")).alias("m"), F.sum("size").alias("all"), F.count("*").alias("parts")).where("parts > 1")
     bulk = bulk.select("token", "all", F.col("m.size").alias("most"), F.col("m.component").alias("bulk"), F.ceil(F.col("m.size") / F.lit(float(BLOCK))).cast("int").alias("n_bulk"), F.ceil((F.col("all") - F.col("m.size")) / F.lit(float(BLOCK))).cast("int").alias("n_rest"))
-    rows = materialise(rows.join(bulk, "token").withColumn("in_bulk", F.col("component") == F.col("bulk")), "across", narrow=1)
-    small = rows.where(F.col("all") <= SMALL).select("token", "id", "n", "component")
+    bulk = materialise(bulk, "bulk", mb)
+    table = materialise(rows.join(bulk, "token").withColumn("in_bulk", F.col("component") == F.col("bulk")), "across", mb)
+    small = table.where(F.col("all") <= SMALL).select("token", "id", "n", "component")
     other = small.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    few = allowed(small.join(other, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & _alike("n", "nb", percent)).select(F.col("id").alias("a"), "b"), classes, percent)
+    few = small.join(other, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & _alike("n", "nb", percent)).select(F.col("id").alias("a"), "b")
     loose = (F.col("all") > SMALL) & (F.col("most") <= LOOSE)
-    vague = allowed(_loose_pairs(rows.where(loose), classes, percent), classes, percent)
-    rows = rows.where((F.col("all") > SMALL) & ~loose)
+    vague = _loose_pairs(table.where(loose), prints, percent)
+    rows = table.where((F.col("all") > SMALL) & ~loose)
     own = rows.groupBy("id").agg(F.collect_list("token").alias("tokens"))  # no more than a prefix
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -306,7 +373,7 @@ def across_pairs(grouped: DataFrame, classes: DataFrame, labels: DataFrame, perc
     # the rest meets each block of the bulk, and itself in cells (-1 - i, j) with i <= j
     of_rest = F.concat(F.transform(every("n_bulk"), lambda i: cell(i, at_rest)), F.transform(every("n_rest"), lambda j: cell(-1 - F.least(j, at_rest), F.greatest(j, at_rest))))
     dealt = rows.withColumn("cell", F.explode(F.when(F.col("in_bulk"), of_bulk).otherwise(of_rest)))
-    dealt = dealt.select("token", "cell.i", "cell.j", "id", "n", "component").join(classes.select("id", "sketch"), "id").join(own, "id")
+    dealt = dealt.select("token", "cell.i", "cell.j", "id", "n", "component").join(prints.select("id", "sketch"), "id").join(own, "id")
 
     def pairs_of(token, group):
         n, component, ids = (np.array(group[k]) for k in ("n", "component", "id"))
@@ -334,7 +401,8 @@ def across_pairs(grouped: DataFrame, classes: DataFrame, labels: DataFrame, perc
             if out := list(pairs_of(key[0], group)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").unionByName(few).unionByName(vague).distinct()
+    heavy = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lean(run), "a long, b long")
+    return allowed(few.unionByName(vague).unionByName(heavy), prints, percent), [bulk, table]
 
 
 def _grouped(batches, keys: tuple[str, ...], names: tuple[str, ...]):
@@ -354,12 +422,12 @@ def _grouped(batches, keys: tuple[str, ...], names: tuple[str, ...]):
         yield at, group
 
 
-def _loose_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _loose_pairs(rows: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
     """Pairs of one group, different components and like sizes that their outlines allow. A group is dealt over cells of two blocks."""
     n_blocks = F.ceil(F.col("all") / F.lit(float(BLOCK))).cast("int")
     mine = F.pmod(F.hash("id"), n_blocks)
     cells = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
-    dealt = rows.select("token", "id", "n", "component", F.explode(cells).alias("cell")).select("token", "cell.i", "cell.j", "id", "n", "component").join(classes.select("id", "outline"), "id")
+    dealt = rows.select("token", "id", "n", "component", F.explode(cells).alias("cell")).select("token", "cell.i", "cell.j", "id", "n", "component").join(prints.select("id", "outline"), "id")
 
     def run(batches):
         for _, g in _grouped(batches, ("token", "i", "j"), ("id", "n", "component", "outline")):
@@ -384,7 +452,15 @@ def _loose_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long")
+    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lean(run), "a long, b long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, mb: float, words: int, percent: int) -> tuple[DataFrame, int]:
+    """The links among pairs, and how many they are."""
+    pairs = materialise(pairs, "pairs", mb, cores(docs.sparkSession))
+    links = verify(docs, pairs, pairs.count(), words, percent)
+    discard(pairs)
+    return links, links.count()
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -394,25 +470,40 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     its set is their whole sequence; repeated rows each get a row; an empty table gives no rows; other columns are ignored.
     doc_id is a key: rows that share it are taken for one document. Texts are read whole, whatever their length.
     """
-    spark = tuned(docs.sparkSession)
+    tuned(docs.sparkSession)
     sets = read(docs, words)
     own = sets.where("kind = 0").drop("kind")
-    counted = sets.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    often = counted.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).select("key").toArrow().column(0).to_numpy()
-    classes = materialise(own.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch"), F.min("outline").alias("outline")), "classes", narrow=1)
-    grouped = groups(index(docs, np.sort(often.view(np.uint64)), words, percent), classes)
-    links = verify(docs, first_pairs(grouped, classes, percent), words, percent)
-    more = across_pairs(grouped, classes, components(links), percent)
-    links = links.unionByName(verify(docs, more, words, percent))
-    found = components(links).withColumnRenamed("id", "_id")
-    named = own.select("doc_id", "key", "n").join(classes.select("key", "n", "id"), ["key", "n"], "left").join(found, F.col("id") == F.col("_id"), "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows, tokens = own.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    classes = materialise(own.where("n > 0 and doc_id is not null").groupBy("key", "key2", "n").agg(F.min("doc_id").alias("id")), "classes", 40 * rows / 1e6)
+    shared = index(docs, frequent(sets), (rows + tokens * (100 - percent) / 100) * 30 / 1e6, words, percent)
+    grouped = groups(shared, classes)
+    discard(shared)
+    mb = 40 * grouped.count() / 1e6
+    prints = fingerprints(docs, grouped.select("id").distinct(), 15 * mb, words, percent)
+    links, n = _verified(docs, first_pairs(grouped, prints, percent), 4 * mb, words, percent)
+    first = components(links, n).select("id", "component")
+    more, behind = across_pairs(grouped, prints, first, mb, percent)
+    late, n_late = _verified(docs, more, 4 * mb, words, percent)
+    discard(*behind, grouped, prints, links)
+    # the components that late links join, as a graph of their own
+    of = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    joined = late.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    second = components(joined, n_late).select(F.col("id").alias("_first"), F.col("component").alias("_second"))
+    discard(late)
+    found = classes.join(first.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").withColumn("_first_", F.coalesce("component", "id"))
+    found = found.join(second, F.col("_first_") == F.col("_first"), "left").select("key", "key2", "n", F.coalesce("_second", "_first_").alias("component"))
+    named = own.select("doc_id", "key", "key2", "n").join(found, ["key", "key2", "n"], "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component (or null). A Bloom filter of the ids that go lets most
-    rows pass where they are; only the others are joined."""
-    gone = materialise(join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "gone", narrow=1)
+    rows pass where they are; only the others are joined.
+
+    Empty texts, repeated rows, empty tables and other columns are as join() has them; rows that stay are unchanged.
+    """
+    gone = join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    gone = materialise(gone, "gone", 8 * docs.count() / 1e6)
     maybe, sure = among(docs, gone), among(docs, gone, inside=False)
     return sure.unionByName(maybe.join(gone.withColumnRenamed("id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti"))
 

@@ -5,44 +5,13 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import xxhash
 
-#: Bytes of a text hashed at once.
+#: Bytes of a text whose words are hashed at once.
 BLOCK = 1 << 19
 _GAP = re.compile(rb"[\x20\x09-\x0d]")
-
-_RNG = np.random.default_rng(2024)
-#: A random odd number for each byte, and the base of the polynomials.
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_POWERS = np.ones(1, np.uint64)
-_INVERSES = np.ones(1, np.uint64)
-
-
-def _inverse(odd: int) -> int:
-    x = odd
-    for _ in range(6):
-        x = x * (2 - odd * x) % (1 << 64)
-    return x
-
-
-_BASE_INVERSE = np.uint64(_inverse(int(_BASE)))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE to the powers 0..n-1 and their inverses, modulo 2**64."""
-    global _POWERS, _INVERSES
-    if len(_POWERS) < n:
-        most = max(n, 1 << 16)
-        for name, base in (("_POWERS", _BASE), ("_INVERSES", _BASE_INVERSE)):
-            row = np.full(most, base, np.uint64)
-            row[0] = 1
-            globals()[name] = np.cumprod(row, dtype=np.uint64)
-    return _POWERS[:n], _INVERSES[:n]
-
+#: The base of polynomials over words.
+_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection that spreads each bit over all."""
@@ -64,23 +33,16 @@ def _blocks(text: bytes, size: int = BLOCK):
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A hash of each word (a run without ASCII white space), A-Z as a-z. Long texts are read in blocks."""
-    if len(text) > BLOCK:
-        return np.concatenate([_word_hashes(b) for b in _blocks(text)])
-    return _word_hashes(text)
-
-
-def _word_hashes(text: bytes) -> np.ndarray:
-    raw = np.frombuffer(text, np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64)
-    gap = _SPACE[raw]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).view(np.int8)))
-    starts, ends = edges[0::2], edges[1::2]
-    p, inverse = powers(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[raw]] * p, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64)
+    """A hash of each word (a run without ASCII white space), A-Z as a-z. Long texts are read in blocks.
+
+    Words are hashed by their bytes with XXH3: polynomials modulo 2**64, as a shingle's over its words, have collisions that
+    can be written down (Thue-Morse words) where their digits are bytes.
+    """
+    parts = []
+    for block in _blocks(text):
+        words = block.lower().split()
+        parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def shingle_set(text: bytes, k: int = 5) -> np.ndarray:
