@@ -8,14 +8,40 @@ run of such windows is a block, about 40 bytes apart on average.
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-from folioflow.llm.shingles import mix, powers
+from folioflow.llm.shingles import mix
 
 WINDOW, GRAM = 100, 24
 #: Bytes read at once; places within fit in PLACE bits.
 PIECE, PLACE = 1 << 17, 20
 _BYTE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASK = np.uint64((1 << PLACE) - 1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.ones(1, np.uint64)
+_INVERSES = np.ones(1, np.uint64)
+
+
+def _inverse(odd: int) -> int:
+    x = odd
+    for _ in range(6):
+        x = x * (2 - odd * x) % (1 << 64)
+    return x
+
+
+_BASE_INVERSE = np.uint64(_inverse(int(_BASE)))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE to the powers 0..n-1 and their inverses, modulo 2**64."""
+    global _POWERS, _INVERSES
+    if len(_POWERS) < n:
+        most = max(n, 1 << 16)
+        for name, base in (("_POWERS", _BASE), ("_INVERSES", _BASE_INVERSE)):
+            row = np.full(most, base, np.uint64)
+            row[0] = 1
+            globals()[name] = np.cumprod(row, dtype=np.uint64)
+    return _POWERS[:n], _INVERSES[:n]
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -28,7 +54,11 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def blocks_of(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First windows, numbers of windows, anchor hashes and block hashes of the blocks of texts laid end to end in raw."""
+    """First windows, numbers of windows, anchor hashes and block hashes of the blocks of texts laid end to end in raw.
+
+    Anchors are hashed by a polynomial modulo 2**64, which rolls; blocks that only seem to share an anchor merely meet. Blocks
+    are equal by XXH3 of their bytes together with their anchor's hash: two independent hashes of 64 bits.
+    """
     n = len(raw)
     none = np.zeros(0, np.int64)
     if n < WINDOW:
@@ -45,7 +75,8 @@ def blocks_of(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first = np.flatnonzero(new)
     stop = np.flatnonzero(fits & np.r_[new[1:] | ~fits[1:], True]) + 1
     size = stop - first
-    content = mix((sums[stop + WINDOW - 1] - sums[first]) * inverse[first] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (at[first] - first).astype(np.uint64), 2)
+    whole = memoryview(raw)
+    content = np.fromiter((xxhash.xxh3_64_intdigest(whole[a:z]) for a, z in zip(first.tolist(), (stop + WINDOW - 1).tolist(), strict=True)), np.uint64, len(first))
     return first, size, grams[at[first]], content
 
 

@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import anchors
 from folioflow.llm.anchors import WINDOW
-from folioflow.llm.common import doc_bytes, documents, materialise, tuned
+from folioflow.llm.common import cores, doc_bytes, documents, input_mb, lean, materialise, tuned
 from folioflow.llm.shingles import mix
 
 #: The period of the difference cover, and its root: {0..ROOT-1} and the multiples of ROOT have every difference.
 COVER, ROOT = 32, 8
 #: Bytes of a text whose suffixes are sorted together, suffixes of a bucket, and blocks of an anchor from which it is dealt again.
 TEXT, BUCKET, HOT = 1 << 20, 1 << 16, 4_096
+#: Times that a batch repeats a block from which its task knows it in later batches too, and blocks known at most.
+OFTEN, KNOWN = 4, 50_000
 
 _SAMPLE = np.array(sorted({*range(ROOT), *range(0, COVER, ROOT)}))
 #: Bit d of _SHIFTS[r] says that r + d falls on the sample.
@@ -151,11 +153,12 @@ def _rows(names: list[str], *columns) -> pa.RecordBatch:
 def find_blocks(docs: DataFrame) -> DataFrame:
     """key, block, doc, at of all blocks: the anchor's hash, the content's hash, the document, and first window * 256 + windows - 1.
 
-    Of blocks alike within a batch only the earliest goes on; the others' bytes are spans already: rows with at = -1 - start
-    and block = stop, under a key of their own.
+    Of blocks alike within a batch, and of common ones within a task, only those go on that are earlier than any before; the
+    others' bytes are spans already: rows with at = -1 - start and block = stop, under a key of their own.
     """
 
     def run(batches):
+        known: dict[tuple[int, int], tuple[int, int]] = {}  # (key, block) that are common: the earliest (doc, at) so far
         for batch in batches:
             ids = batch.column(0).to_numpy()
             k, first, size, anchor, content = anchors.read(batch.column(1).to_pylist())
@@ -169,6 +172,18 @@ def find_blocks(docs: DataFrame) -> DataFrame:
             head = np.maximum.accumulate(np.where(alike, 0, np.arange(len(doc))))
             gone = alike & ((doc != doc[head]) | (at != at[head]))
             keep = ~alike & ~again
+            if known:
+                for i in np.flatnonzero(keep & np.isin(block, np.fromiter((b for _, b in known), np.int64, len(known)))).tolist():
+                    own, mine = (int(key[i]), int(block[i])), (int(doc[i]), int(at[i]))
+                    before = known.get(own)
+                    if before is not None and mine < before:
+                        known[own] = mine
+                    elif before is not None:
+                        keep[i], gone[i] = False, mine != before
+            if len(known) < KNOWN:
+                often = np.flatnonzero(np.bincount(head, minlength=len(doc)) >= OFTEN)
+                for i in often[: KNOWN - len(known)].tolist():
+                    known.setdefault((int(key[i]), int(block[i])), (int(doc[i]), int(at[i])))
             spans = _spans(doc[gone], at[gone] >> 8, (at[gone] & 255) + 1)
             names = ["key", "block", "doc", "at"]
             yield _rows(names, key[keep], block[keep], doc[keep], at[keep])
@@ -177,7 +192,7 @@ def find_blocks(docs: DataFrame) -> DataFrame:
                 yield _rows(names, mix(d.view(np.uint64) + a.view(np.uint64)).view(np.int64), z, d, -1 - a)
 
     rows = doc_bytes(docs).where(F.col("doc_id").isNotNull())
-    return rows.mapInArrow(run, "key long, block long, doc long, at long")
+    return rows.mapInArrow(lean(run), "key long, block long, doc long, at long")
 
 
 def _resolve(batches):
@@ -263,9 +278,10 @@ def spans_of(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """doc, start and stop of removed bytes; spans may overlap. texts: docs with doc_id and text among their columns, dealt by
     doc_id; the caller joins all their columns once more, so that Spark deals them out only once."""
     blocks = find_blocks(docs).repartition("key").sortWithinPartitions("key", "block", "doc", "at")
-    found = materialise(blocks.mapInArrow(_resolve, "kind long, doc long, start long, stop long, key long"), "blocks", narrow=4)
+    mb = input_mb(docs)
+    found = materialise(blocks.mapInArrow(lean(_resolve), "kind long, doc long, start long, stop long, key long"), "blocks", mb and 1.2 * mb, 2 * cores(docs.sparkSession))
     asked = found.where("kind = 1")
-    hot = asked.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
+    hot = materialise(asked.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot")), "hot", mb and 0.1 * mb)
     asked = asked.join(hot, "key", "left").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "start", "stop", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("_asked")).withColumnRenamed("doc_id", "_doc")
 
     def cut(batches):
@@ -291,9 +307,9 @@ def spans_of(docs: DataFrame, texts: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["kind", "key", "doc", "start", "stop", "text"])
 
-    met = texts.join(asked, F.col("doc_id") == F.col("_doc")).mapInArrow(cut, "kind int, key long, doc long, start long, stop long, text binary")
+    met = texts.join(asked, F.col("doc_id") == F.col("_doc")).mapInArrow(lean(cut), "kind int, key long, doc long, start long, stop long, text binary")
     dealt = met.repartition("kind", "key").sortWithinPartitions("kind", "key", "text", "doc", "start")
-    more = dealt.mapInArrow(_sort_kinds, "doc long, start long, stop long")
+    more = dealt.mapInArrow(lean(_sort_kinds), "doc long, start long, stop long")
     return found.where("kind = 0").select("doc", "start", "stop").unionByName(more)
 
 
@@ -344,11 +360,12 @@ def _joined(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """All columns of texts, and `_spans`."""
+    """All columns of texts, and `_spans`. Rows without doc_id take no part and stay where they are."""
     tuned(docs.sparkSession)
-    texts = texts.repartition("doc_id")
-    spans = spans_of(docs, texts).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    return texts.join(spans, F.col("doc_id") == F.col("_doc"), "left")
+    named, others = texts.where(F.col("doc_id").isNotNull()).repartition("doc_id"), texts.where(F.col("doc_id").isNull())
+    spans = spans_of(docs, named).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    met = named.join(spans, F.col("doc_id") == F.col("_doc"), "left")
+    return met.unionByName(others.withColumns({"_doc": F.lit(None).cast("long"), "_spans": F.lit(None).cast(met.schema["_spans"].dataType)}))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -374,7 +391,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return _with_spans(docs, doc_bytes(docs)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>")
+    return _with_spans(docs, doc_bytes(docs)).mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>")
 
 
 def deduplicated_texts(docs: DataFrame) -> DataFrame:
@@ -398,7 +415,7 @@ def deduplicated_texts(docs: DataFrame) -> DataFrame:
             k = batch.schema.get_field_index("text")
             yield batch.set_column(k, "text", pa.array(texts, pa.string())).drop_columns(["_doc", "_spans"])
 
-    return _with_spans(docs, docs).mapInArrow(run, docs.schema)
+    return _with_spans(docs, docs).mapInArrow(lean(run), docs.schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
