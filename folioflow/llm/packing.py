@@ -1,4 +1,5 @@
-"""Best-fit packing by exact-complement hashing.
+"""Best-fit packing by exact-complement hashing: combinations of one, two or three pieces that fill a gap exactly are found in
+an index by their sum, and consumed in bulk under counts of what is available; what is left is packed best fit.
 
 Documents become token pieces of at most `capacity` ids. Which sequence a piece goes to depends on its length alone and on
 its rank among the pieces of that length, so the plan is made from the histogram of lengths (at most `capacity` numbers,
@@ -18,30 +19,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import documents, doc_bytes, materialise, tokenizer_path, tuned
+from folioflow.llm.common import Bounded, documents, doc_bytes, held, input_mb, lean, materialise, tokenizer_path, tuned
 
 CAPACITY = 2048
-#: Entries and bytes of a worker's cache from a white-space-free chunk to its ids.
-CACHE_ENTRIES, CACHE_KEY_BYTES = 400_000, 64
-
-_TOKENIZERS: dict = {}
-_CACHES: dict = {}
+#: Bytes of a worker's caches from white-space-free chunks, and from words, to their ids; longest chunk that is kept.
+CACHE_BYTES, WORD_BYTES, CACHE_KEY_BYTES = 64 << 20, 8 << 20, 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, rank long"
 
 
 def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
-        import os
+    import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _TOKENIZERS[path] = t
-    return _TOKENIZERS[path]
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
 
 
 def _units() -> dict[int, str]:
@@ -58,7 +54,7 @@ _STOPS = frozenset([b",", b".", b"!", b"?", b";", b":"])
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^0-9a-z\xdf-\xf6\xf8-\xff]+")
 
 
-def _chunk_ids(chunks: list[bytes], tok, words: dict[bytes, bytes]) -> dict[bytes, bytes]:
+def _chunk_ids(chunks: list[bytes], tok, words: Bounded) -> dict[bytes, bytes]:
     """Plain chunks word by word, through a cache of words; all others by the library as they are."""
     out, other = {}, []
     tokenize = tok.model.tokenize
@@ -67,7 +63,9 @@ def _chunk_ids(chunks: list[bytes], tok, words: dict[bytes, bytes]) -> dict[byte
         found = words.get(word)
         if found is None:
             ids = [t.id for t in tokenize(word.decode() if word.isascii() else "".join(map(_UNITS.__getitem__, word)))]
-            found = words[word] = pack_ids(f"<{len(ids)}I", *ids)
+            found = pack_ids(f"<{len(ids)}I", *ids)
+            if len(word) <= CACHE_KEY_BYTES:
+                words.learn(word, found, len(word) + len(found))
         return found
 
     for chunk in chunks:
@@ -95,19 +93,20 @@ def encode(texts: list[bytes], path: str) -> list[bytes]:
     The vocabulary drops white space, so no token, and no normalisation, crosses it: the ids of a text are those of its
     white-space-free chunks in order, and a worker keeps the ids of the chunks and of the words that it has seen.
     """
-    tok = _tokenizer(path)
-    cache, words = _CACHES.setdefault(path, ({}, {}))
-    for kept in (cache, words):
-        if len(kept) > CACHE_ENTRIES:
-            kept.clear()
+    tok, cache, words = held(f"packing {path}", lambda: (_tokenizer(path), Bounded(CACHE_BYTES), Bounded(WORD_BYTES)))
+    cache.tidy()
+    words.tidy()
     chunks = [t.split() for t in texts]
-    missing = list(set().union(*chunks).difference(cache))
-    cache.update(_chunk_ids(missing, tok, words))
-    out = [b"".join(map(cache.__getitem__, c)) for c in chunks]
-    for w in missing:
-        if len(w) > CACHE_KEY_BYTES:
-            del cache[w]
-    return out
+    new = _chunk_ids(list(set().union(*chunks).difference(cache)), tok, words)
+    long = {}
+    for w, ids in new.items():
+        if len(w) <= CACHE_KEY_BYTES:
+            cache.learn(w, ids, len(w) + len(ids))
+        else:
+            long[w] = ids
+    if long:
+        return [b"".join([long[w] if w in long else cache[w] for w in c]) for c in chunks]
+    return [b"".join(map(cache.__getitem__, c)) for c in chunks]
 
 
 def cut(docs: DataFrame, capacity: int, path: str, end_id: int = 0) -> DataFrame:
@@ -147,33 +146,55 @@ class Plan:
         self.used[length] = first + times
 
 
-def _pair(free: np.ndarray, total: int) -> tuple[int, int] | None:
-    """Two available lengths that sum to total, the most unequal ones."""
-    if total < 2:
+class Sums:
+    """An index from a sum to the single lengths, pairs and triples of available lengths that make it.
+
+    Pairs lie in a table sorted by their sum, with the first that may still be good for each; of triples, a sum has the
+    first members whose rest may still be a pair. Availability only falls, so what has run out is passed over for good.
+    """
+
+    def __init__(self, free: np.ndarray):
+        self.free, capacity = free, len(free) - 1
+        have = np.flatnonzero(free)
+        big, small = np.concatenate([np.stack([np.full(k + 1, x), have[: k + 1]]) for k, x in enumerate(have)] or [np.zeros((2, 0), np.int64)], axis=1)
+        fits = big + small <= capacity
+        big, small = big[fits], small[fits]
+        order = np.lexsort([-big, big + small])  # the most unequal first
+        self.big, self.small = big[order].tolist(), small[order].tolist()
+        at = np.searchsorted((big + small)[order], np.arange(capacity + 2))
+        self.at, self.end = at[:-1].tolist(), at[1:].tolist()
+        self.firsts = have[::-1].tolist()
+        self.third = [0] * (capacity + 1)
+
+    def enough(self, *lengths: int) -> bool:
+        return all(self.free[x] >= lengths.count(x) for x in lengths)
+
+    def pair(self, total: int, *beside: int) -> tuple[int, int] | None:
+        """Two lengths that sum to total and are there beside the others."""
+        if total < 2:
+            return None
+        while self.at[total] < self.end[total] and not self.enough(self.big[self.at[total]], self.small[self.at[total]]):
+            self.at[total] += 1
+        for k in range(self.at[total], self.end[total]):
+            two = self.big[k], self.small[k]
+            if self.enough(*two, *beside):
+                return two
+        return None
+
+    def complement(self, gap: int, length: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that fill gap exactly, beside one of `length`."""
+        if self.enough(gap, length):
+            return (gap,)
+        if two := self.pair(gap, length):
+            return two
+        while self.third[gap] < len(self.firsts) and not (self.firsts[self.third[gap]] < gap and self.free[self.firsts[self.third[gap]]] and self.pair(gap - self.firsts[self.third[gap]])):
+            self.third[gap] += 1
+        for a in self.firsts[self.third[gap] :]:
+            if 3 * a < gap:  # the largest of three is a third or more
+                return None
+            if a < gap and self.enough(a, length) and (rest := self.pair(gap - a, a, length)):
+                return (a, *rest)
         return None
-    small = np.arange(1, total // 2 + 1)
-    ok = (free[small] > 0) & (free[total - small] > 0)
-    if total % 2 == 0 and free[total // 2] < 2:
-        ok[-1] = False
-    at = np.argmax(ok)
-    return (total - int(small[at]), int(small[at])) if ok[at] else None
-
-
-def _complement(free: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that fill gap exactly."""
-    if free[gap] > 0:
-        return (gap,)
-    if two := _pair(free, gap):
-        return two
-    for a in np.nonzero(free[: gap - 1])[0][::-1]:
-        if 3 * a < gap:
-            break
-        free[a] -= 1
-        rest = _pair(free, gap - int(a))
-        free[a] += 1
-        if rest:
-            return (int(a), *rest)
-    return None
 
 
 def plan(histogram: dict[int, int], capacity: int) -> Plan:
@@ -193,13 +214,9 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
 
     if left[capacity]:
         open_bins((capacity,), int(left[capacity]))
+    index = Sums(left)
     for length in range(capacity - 1, 0, -1):
-        while left[length]:
-            left[length] -= 1
-            rest = _complement(left, capacity - length)
-            left[length] += 1
-            if not rest:
-                break
+        while left[length] and (rest := index.complement(capacity - length, length)):
             whole = (length, *rest)
             open_bins(whole, int(min(left[x] // whole.count(x) for x in set(whole))))
 
@@ -241,7 +258,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end
     pieces = materialise(cut(docs, capacity, path, end_id), "pieces")
     counts = pieces.groupBy("chunk", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = materialise(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "bases", narrow=1)
+    mb = input_mb(docs)
+    bases = materialise(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "bases", mb and 0.05 * mb)
     made = plan({r.length: r.n for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)  # one row a length
     slots = np.array(sorted(made.slots), np.int64).reshape(-1, 4)
     keys = slots[:, 0] << 48 | slots[:, 1]
@@ -254,8 +272,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end
             t = t.drop_columns(["rank"]).append_column("sequence_id", pa.array(slots[at, 2] + rank - slots[at, 1])).append_column("offset", pa.array(slots[at, 3]))
             yield from t.to_batches()
 
-    ranked = pieces.join(bases.select("chunk", "length", "base"), ["chunk", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
-    return ranked.mapInArrow(assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # a row of bases stands for a task's pieces of one length, so its table grows with the corpus: never broadcast
+    ranked = pieces.join(bases.select("chunk", "length", "base").hint("merge"), ["chunk", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
+    return ranked.mapInArrow(lean(assign), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
