@@ -13,30 +13,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import documents, doc_bytes, tokenizer_path, tuned
+from folioflow.llm.common import Bounded, documents, doc_bytes, held, lean, tokenizer_path, tuned
 
-#: Documents that the frequent table is learned from at most, the commonest pre-tokens of each that count, and the table's size: the table only saves time.
+#: Documents that the frequent table is learned from, about, whatever the corpus; the commonest pre-tokens of each that count;
+#: and the table's size. The table only saves time: counts are exact without it.
 SAMPLE_DOCS, PER_DOC, TABLE = 2_000, 512, 16_384
-CACHE_ENTRIES, CACHE_KEY_BYTES = 300_000, 64
+#: Bytes of a worker's cache, and longest pre-token that it keeps.
+CACHE_BYTES, CACHE_KEY_BYTES = 32 << 20, 64
 _SPACE = "\N{LOWER ONE EIGHTH BLOCK}".encode()
 #: A run of spaces with what follows it, or a line end with what follows it.
 _SEGMENT = re.compile(rb" +[^ \n]*|\n[^ \n]*")
 
-_MODELS: dict = {}
-_CACHES: dict = {}
 
+def _load(path: str):
+    import sentencepiece
 
-def _model(path: str):
-    if path not in _MODELS:
-        import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    mark = _SPACE.decode()
+    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    if any(mark in p.lstrip(mark) or "\n" in p for p in pieces):
+        raise ValueError("tokens of this vocabulary cross white space; pre-tokens can't be counted one by one")
+    return model
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        mark = _SPACE.decode()
-        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        if any(mark in p.lstrip(mark) or "\n" in p for p in pieces):
-            raise ValueError("tokens of this vocabulary cross white space; pre-tokens can't be counted one by one")
-        _MODELS[path] = model
-    return _MODELS[path]
+
+def _kept(path: str) -> tuple:
+    """This worker's model and cache."""
+    return held(f"token counts {path}", lambda: (_load(path), Bounded(CACHE_BYTES)))
 
 
 def segments(text: bytes) -> list[bytes]:
@@ -53,7 +55,7 @@ def segments(text: bytes) -> list[bytes]:
 
 def lengths(keys: list[bytes], path: str) -> list[int]:
     """Tokens of each key. The lone space before a line end that the library adds doesn't count."""
-    encoded = _model(path).encode([k.decode("utf-8", "replace") for k in keys], num_threads=1)
+    encoded = _kept(path)[0].encode([k.decode("utf-8", "replace") for k in keys], num_threads=1)
     return [len(ids) - 1 if k[:1] == b"\n" else len(ids) or 1 for k, ids in zip(keys, encoded, strict=True)]
 
 
@@ -69,10 +71,9 @@ def count_tokens(docs: DataFrame, limit: int = 4096, path: str | None = None) ->
     table = spark.sparkContext.broadcast(frequent(texts, path))
 
     def run(batches):
-        first, cache = table.value, _CACHES.setdefault(path, {})
+        first, cache = table.value, _kept(path)[1]
         for batch in batches:
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
+            cache.tidy()
             texts = batch.column(1).to_pylist()
             keys = [segments(t) for t in texts]
             sums, waiting = [], []
@@ -91,17 +92,18 @@ def count_tokens(docs: DataFrame, limit: int = 4096, path: str | None = None) ->
             if new:
                 known = dict(zip(new, lengths(new, path), strict=True))
                 sums = [n + sum(map(known.__getitem__, ws)) for n, ws in zip(sums, waiting, strict=True)]
-                cache.update((w, n) for w, n in known.items() if len(w) <= CACHE_KEY_BYTES)
+                for w, n in known.items():
+                    if len(w) <= CACHE_KEY_BYTES:
+                        cache.learn(w, n, len(w))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(sums, pa.int64()), pa.array([n > limit for n in sums])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return texts.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def frequent(texts: DataFrame, path: str) -> dict[bytes, int]:
-    """The commonest pre-tokens of at most about SAMPLE_DOCS documents, drawn by a hash, with their numbers of tokens."""
-    n = texts.select("doc_id").count()
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    drawn = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
+    """The commonest pre-tokens of about SAMPLE_DOCS rows, with their numbers of tokens. Rows are drawn one by one, whatever
+    their doc_id, so alike and null ids don't come together."""
+    drawn = texts.where(F.rand(3) < SAMPLE_DOCS / max(texts.count(), 1))
 
     def count(batches):
         for batch in batches:
@@ -109,7 +111,7 @@ def frequent(texts: DataFrame, path: str) -> dict[bytes, int]:
                 top = [(k, c) for k, c in Counter(segments(t)).most_common(PER_DOC) if len(k) <= CACHE_KEY_BYTES]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.binary()), pa.array([c for _, c in top], pa.int64())], names=["key", "n"])
 
-    counted = drawn.mapInArrow(count, "key binary, n long").toArrow()  # at most about SAMPLE_DOCS * PER_DOC rows
+    counted = drawn.mapInArrow(lean(count), "key binary, n long").toArrow()  # at most about SAMPLE_DOCS * PER_DOC rows
     if not counted.num_rows:
         return {}
     total = counted.group_by("key").aggregate([("n", "sum")]).sort_by([("n_sum", "descending"), ("key", "ascending")])
