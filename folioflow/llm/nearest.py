@@ -3,29 +3,34 @@
 Nearness in Euclidean distance is a maximum inner product: |q - x|^2 = |q|^2 + |x|^2 - 2 q.x, and |x|^2 is kept as it is.
 Each pair of dimensions is quantised to one of 16 codewords, chosen for all pairs together so that the residual's part
 along x, which alone moves the inner products that matter, costs more than the part across it. Queries turn into tables of
-16 partial products a pair; two packed codes of a byte are looked up at once. The best of each scanned block are measured
-exactly on the original vectors.
+16 partial products a pair; two packed codes of a byte are looked up at once. The best of each scanned block that may still
+be nearer than what a query has found are measured exactly on the original vectors; so ever fewer are, as a scan goes on.
 
-Queries meet the index in blocks of at most QUERY_BLOCK, which are broadcast in turn; vectors are never shuffled.
+Queries meet the index in blocks of bounded bytes, one after the other: the driver holds one block at a time, a worker one
+tile's tables. Vectors are never shuffled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import materialise
+from folioflow.llm.common import discard, lean, materialise, tuned
 
 #: Vectors that codewords are fitted on at most, drawn by a hash of vec_id; rounds of fitting; sweeps over a vector's codes.
 SAMPLE, ROUNDS, SWEEPS = 20_000, 10, 2
 #: Cosine from which an inner product counts; sets how much more a parallel error costs.
 LEAST_COSINE = 0.2
-#: Queries of a broadcast block (a block of 1,000 dimensions is 64 MB), rows scanned together, and rows measured of these.
-QUERY_BLOCK, ROW_BLOCK, QUERY_TILE, MEASURED = 16_384, 8_192, 512, 96
+#: Queries and bytes of a broadcast block at most, rows scanned together, queries whose tables are made together, and rows
+#: measured of those at most.
+QUERY_BLOCK, QUERY_BYTES, ROW_BLOCK, QUERY_TILE, MEASURED = 65_536, 32 << 20, 8_192, 512, 96
+#: Standard errors of a guess by which it may exceed what a query has found and still be measured.
+SLACK = 2.5
 STEP, NEAREST = 100, 10
 
 
@@ -34,6 +39,7 @@ class Quantiser:
     centre: np.ndarray
     codewords: np.ndarray  # pairs x 16 x 2
     extra: float  # what the parallel error costs more
+    error: float = 0.0  # standard error of 2 q.x from codes, for a query of length 1
 
     def _parts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pad = 2 * len(self.codewords) - x.shape[1]
@@ -97,6 +103,9 @@ def fit(x: np.ndarray) -> Quantiser:
             full = np.bincount(codes[:, m], minlength=16) > 0
             made.codewords[m][full] = np.linalg.solve(a[full], b[full][:, :, None])[:, :, 0]
             along[:, m] = ((ym - made.codewords[m][codes[:, m]]) * um).sum(axis=1)
+    left = (y - made.codewords[np.arange(pairs), made.codes(x)]).reshape(n, -1)[:, :d]
+    to = x[rng.permutation(n)[:1000]]
+    made.error = float(2 * (left @ (to / np.maximum(np.linalg.norm(to, axis=1, keepdims=True), 1e-30)).T).std())
     return made
 
 
@@ -114,26 +123,30 @@ def _same(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def scan(ids, codes, norms, x, q_ids, q, tables, k):
-    """Of each query, up to k nearest rows found: ids and distances, padded with -1 and infinity."""
-    found, far = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf)
+def scan(ids, codes, norms, x, q_ids, q, model, found, far):
+    """Of each query, update ids and distances of the nearest found so far (padded with -1 and infinity) from a block of rows."""
+    k = found.shape[1]
     order = np.argsort(ids, kind="stable")
     order = order[_same(x[order]) <= k]  # of equal vectors the first k + 1 by id can be among the nearest
     ids, codes, norms, x = ids[order], codes[order], norms[order], x[order]
+    keep = min(MEASURED, len(ids))
     for lo in range(0, len(q), QUERY_TILE):
-        t = tables[lo : lo + QUERY_TILE]
+        t = model.tables(q[lo : lo + QUERY_TILE])
         guess = np.broadcast_to(norms.astype(np.float32), (len(t), len(ids))).copy()
         for m in range(codes.shape[1]):
             guess += t[:, m][:, codes[:, m]]
-        keep = min(MEASURED, len(ids))
         best = np.argpartition(guess, keep - 1, axis=1)[:, :keep]
         best.sort(axis=1)
-        for i, rows in enumerate(best, lo):
+        length = np.linalg.norm(q[lo : lo + QUERY_TILE], axis=1)
+        hopeful = np.take_along_axis(guess, best, axis=1) <= (far[lo : lo + len(t), -1] ** 2 - length**2 + SLACK * model.error * length)[:, None]
+        for i, (rows, may) in enumerate(zip(best, hopeful, strict=True), lo):
+            rows = rows[may]
             rows = rows[ids[rows] != q_ids[i]]
-            dist = np.sqrt(((x[rows] - q[i]) ** 2).sum(axis=1))
-            top = np.argsort(dist, kind="stable")[:k]
-            found[i, : len(top)], far[i, : len(top)] = ids[rows[top]], dist[top]
-    return found, far
+            if len(rows):
+                both = np.concatenate([found[i], ids[rows]])
+                dist = np.concatenate([far[i], np.sqrt(((x[rows] - q[i]) ** 2).sum(axis=1))])
+                top = np.lexsort((both, dist))[:k]
+                found[i], far[i] = both[top], dist[top]
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -150,7 +163,7 @@ def search(embeddings: DataFrame, step: int = STEP, k: int = NEAREST) -> DataFra
     fewer than k candidates get them all, without candidates none; ties go to the smaller vec_id; vec_id is a key: rows
     that repeat it never find each other. An empty table gives no rows; other columns are ignored.
     """
-    spark = embeddings.sparkSession
+    spark = tuned(embeddings.sparkSession)
     schema = "query_id long, rank int, vec_id long, score double"
     rows = usable(embeddings)
     sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -171,38 +184,30 @@ def search(embeddings: DataFrame, step: int = STEP, k: int = NEAREST) -> DataFra
                 codes = pack(model.value.codes(x))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((x * x).sum(axis=1)), batch.column(1)], names=["vec_id", "codes", "norm", "embedding"])
 
-    index = materialise(rows.mapInArrow(encode, "vec_id long, codes binary, norm double, embedding array<double>"), "index")
+    index = materialise(rows.mapInArrow(lean(encode), "vec_id long, codes binary, norm double, embedding array<double>"), "index")
     asked = index.where(F.col("vec_id") % step == 0).select("vec_id", "embedding")
-    bounds = asked.select("vec_id").orderBy("vec_id")
-    total = bounds.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
+    blocks = max(1, -(-asked.count() // min(QUERY_BLOCK, max(1, QUERY_BYTES // (8 * d)))))
     parts = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    out = []
+    for b in range(blocks):
+        mine = parts.where(F.col("block") == b).select("vec_id", "embedding").toArrow()  # about a block
+        sent = spark.sparkContext.broadcast((mine.column(0).to_numpy(), _matrix(mine.column(1).combine_chunks(), d) if mine.num_rows else np.zeros((0, d))))
 
-    def block(b: int) -> DataFrame:
-        mine = parts.where(F.col("block") == b).select("vec_id", "embedding").toArrow()  # about QUERY_BLOCK rows
-        q_ids = mine.column(0).to_numpy()
-        q = _matrix(mine.column(1).combine_chunks(), d) if mine.num_rows else np.zeros((0, d))
-        sent = spark.sparkContext.broadcast((q_ids, q))
-
-        def run(batches):
+        def run(batches, sent=sent):
             q_ids, q = sent.value
-            tables = model.value.tables(q)
             found, far = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf)
             waiting: list = []
 
             def flush():
-                ids, codes, norms, x = (np.concatenate(c) for c in zip(*waiting, strict=True))
+                scan(*(np.concatenate(c) for c in zip(*waiting, strict=True)), q_ids, q, model.value, found, far)
                 waiting.clear()
-                more, dist = scan(ids, codes, norms, x, q_ids, q, tables, k)
-                both, reach = np.concatenate([found, more], axis=1), np.concatenate([far, dist], axis=1)
-                top = np.lexsort((both, reach), axis=1)[:, :k]
-                found[:], far[:] = np.take_along_axis(both, top, axis=1), np.take_along_axis(reach, top, axis=1)
 
             held = 0
             for batch in batches:
                 if batch.num_rows and len(q):
-                    width = tables.shape[1]
-                    waiting.append((batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, width), batch.column(2).to_numpy(), _matrix(batch.column(3), d)))
+                    codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                    waiting.append((batch.column(0).to_numpy(), codes, batch.column(2).to_numpy(), _matrix(batch.column(3), d)))
                     held += batch.num_rows
                     if held >= ROW_BLOCK:
                         flush()
@@ -212,13 +217,14 @@ def search(embeddings: DataFrame, step: int = STEP, k: int = NEAREST) -> DataFra
             at = np.nonzero(found >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[at[0]]), pa.array(found[at]), pa.array(far[at])], names=["query_id", "vec_id", "score"])
 
-        return index.mapInArrow(run, "query_id long, vec_id long, score double")
-
-    near = block(0)
-    for b in range(1, blocks):
-        near = near.unionByName(block(b))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        near = index.mapInArrow(lean(run), "query_id long, vec_id long, score double")
+        near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks == 1:
+            return near
+        out.append(materialise(near, "nearest", 40 * k * mine.num_rows / 1e6))
+        sent.destroy()
+    discard(index)
+    return reduce(DataFrame.unionByName, out)
 
 
 def op2_anisotropic_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
