@@ -25,11 +25,13 @@ SAMPLE = 300
 HIDDEN, EPOCHS, RATE, BATCH = 16, 12, 0.01, 32
 PATH, WORDS, NUMBERS = 64, 32, 9
 
-# The elements of HTML whose content is no markup and no text, those whose content is no text of the page if
-# they are closed, what a head may hold, and the elements that end no block, and that never close.
-RAW = frozenset("script style textarea title".split())
-SILENT = (*sorted(RAW), *"noscript template svg iframe select button audio video".split())
-IN_HEAD = frozenset("base basefont bgsound link meta noscript template".split()) | RAW
+# The elements of HTML whose content is no markup and no text, to the end of the page if they stay open; those
+# whose content is no text of the page if they are closed, and which of these hold their own kind; what a head may hold, and
+# the elements that end no block, and that never close.
+RAW = frozenset("script style".split())
+SILENT = (*sorted(RAW), *"textarea title noscript template svg iframe select button audio video".split())
+NESTING = frozenset("svg template".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noscript template title".split()) | RAW
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 INLINE |= frozenset("svg object canvas math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,7 +41,9 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 AFTER_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(SILENT) + r")(?![\w:.-])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in SILENT}
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+#: The next opening or close of an element; an svg that closes itself opens nothing.
+_NEXT = {name: re.compile(rf"<(/?){name}(?![\w:.-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(/?)>", re.I) for name in SILENT if name not in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PIECES = re.compile(r"[a-z]+")
 
@@ -48,6 +52,23 @@ _ASIDE = frozenset("ad ads advert advertisement banner sponsor promo nav menu br
 _MAIN = frozenset("article main content post entry story body".split())
 
 
+def _close(page: str, name: str, at: int) -> int | None:
+    """Where the element that opened before `at` has closed; None where it has no close before another of its kind opens."""
+    if name in RAW:
+        return m.end() if (m := _END[name].search(page, at)) else None
+    depth = 1
+    for m in _NEXT[name].finditer(page, at):
+        if m[1]:
+            depth -= 1
+            if not depth:
+                return m.end()
+        elif name not in NESTING:
+            return None
+        elif not m[2]:
+            depth += 1
+    return None
+
+
 @dataclass
 class Block:
     path: tuple[tuple[str, tuple[str, ...]], ...]
@@ -58,8 +79,8 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order: text between tags that end a block, references decoded, white space as one space.
 
-    Only script, style, textarea and title run to the end of the page where they aren't closed; a head ends where its body
-    begins, with an end tag or without.
+    Only script and style run to the end of the page where they aren't closed, and a title to the next tag; others of SILENT
+    are text like any element then. A head ends where its body begins, with an end tag or without.
     """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -89,13 +110,17 @@ def blocks(page: str) -> list[Block]:
             continue
         name = name.lower()
         if m[1] and name not in open_ended and not (name == "svg" and own.endswith("/")):
-            if stop := _END[name].search(page, at):
-                at = stop.end()
+            if stop := _close(page, name, at):
+                at = stop
                 continue
             if name in RAW:
                 at = len(page)
                 break
-            open_ended.add(name)
+            if name in NESTING:  # searched once a page: it may nest for long
+                open_ended.add(name)
+            if name == "title":  # as far as it can be: no title holds an element
+                at = tag if (tag := page.find("<", at)) >= 0 else len(page)
+                continue
         if name == "head":
             end()
             head = not close

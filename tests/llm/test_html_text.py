@@ -62,7 +62,11 @@ def test_what_is_left_open_drops_no_text():
     assert got("<p>a <svg class='i'/> b<p>c <svg><text>no</text></svg>d<p>e") == ["a b", "c d", "e"]
     assert got("<p>a<svg><p>b") == got("<p>a<p>b<button>") == ["a", "b"]
     assert got("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> <object>o</object> <canvas>k</canvas> holds<p>b") == ["so x=1 o k holds", "b"]
-    assert got("<p>a<script>b<p>c") == ["a"] and got("<p>a<title>b<p>c") == ["a"] and got("<button-bar>a</button-bar>b") == ["a", "b"]
+    assert got("<p>a<script>b<p>c") == ["a"] and got("<p>a<title>b<p>c") == ["a", "c"] and got("<button-bar>a</button-bar>b") == ["a", "b"]
+    assert got("<head><title>t<body><article><p>a</article>") == ["a"]
+    assert got("<article><p>One.</p><button>Click<p>Two.</p></article>") == got("<article><p>One.</p><button>Click<p>Two.</p><button></button></article>") == ["One.", "Click", "Two."]
+    assert got("<p>a<select><option>x<p>b") == ["a", "x", "b"] and got("<p>a<textarea>b<p>c") == ["a", "b", "c"]
+    assert got("<p>a<svg><svg><text>n</text></svg><text>m</text></svg>b") == ["ab"]
 
 
 def test_gradients():
