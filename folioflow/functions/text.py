@@ -101,7 +101,8 @@ def mask_code(text: Column) -> Column:
 def math_spans(text: Column) -> Column:
     """Inner texts of formulas, display first, beside code."""
     whole = F.regexp_extract_all(mask_code(text), F.lit(MATH), F.lit(0))
-    return F.transform(whole, lambda m: F.when(m.startswith("$$"), F.substr(m, F.lit(3), F.length(m) - 4)).otherwise(F.substr(m, F.lit(2), F.length(m) - 2)))
+    display = lambda m: m.startswith("$$") & m.endswith("$$") & (F.length(m) > 4)  # noqa: E731  $$x$ is a formula $x
+    return F.transform(whole, lambda m: F.when(display(m), F.substr(m, F.lit(3), F.length(m) - 4)).otherwise(F.substr(m, F.lit(2), F.length(m) - 2)))
 
 
 def canonical_latex(text: Column) -> Column:

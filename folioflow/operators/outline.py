@@ -35,8 +35,11 @@ def sub_marks(ranges: DataFrame, outline: DataFrame) -> DataFrame:
 
 
 def split_large(ranges: DataFrame, outline: DataFrame, most_pages: int) -> DataFrame:
-    """doc_id, ord, sub, title, start0, end0: ranges of more than most_pages pages with two marks or more are cut there."""
+    """doc_id, ord, sub, title, start0, end0: ranges of more than most_pages pages with two marks or more are cut there; with
+    most_pages 0 none is."""
     own = ["doc_id", "ord", "title", "start0", "end0"]
+    if most_pages <= 0:
+        return ranges.select("doc_id", "ord", F.lit(0).cast("bigint").alias("sub"), *own[2:])
     large = ranges.where(F.col("end0") - F.col("start0") + 1 > most_pages)
     chapter = Window.partitionBy("doc_id", "ord")
     order = chapter.orderBy("page0", "pos")

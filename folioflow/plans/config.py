@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed values.
 #: Section, name, default, least, most (None: no range). Credentials belong to the translator plugin and have no place here.
 SETTINGS = (
     ("translate", "max_tokens", 65536, 1024, 131072),
@@ -40,6 +42,28 @@ def load(text: str | None) -> dict:
     return {s: {**own, **{k: v for k, v in (given.get(s) or {}).items() if k in own}} for s, own in DEFAULTS.items()}
 
 
+def read(path: str) -> dict:
+    """Settings from a file, made there with the defaults where it is missing or broken."""
+    try:
+        with open(path) as f:
+            text = f.read()
+        whole = isinstance(json.loads(text), dict)
+    except (OSError, ValueError):
+        text, whole = None, False
+    conf = load(text)
+    if not whole:
+        save(conf, path)
+    return conf
+
+
+def save(conf: dict, path: str) -> None:
+    """Settings to a file: written beside it and moved, so a reader finds the old ones or the new ones."""
+    beside = f"{path}.new"
+    with open(beside, "w") as f:
+        json.dump(conf, f, indent=2, ensure_ascii=False)
+    os.replace(beside, path)
+
+
 def environment(conf: dict) -> dict[str, str]:
     """FOLIOFLOW_<SECTION>_<NAME> as strings; truth values as true and false."""
     return {f"FOLIOFLOW_{s}_{k}".upper(): str(v).lower() if isinstance(v, bool) else str(v) for s, own in conf.items() for k, v in own.items()}

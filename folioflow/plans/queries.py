@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -160,7 +160,7 @@ def _(s, d):
 
 
 def _spans_sql(x: str) -> str:
-    return f"list_transform(regexp_extract_all({x}, '(?s)\\$\\$.+?\\$\\$|\\$.+?\\$'), lambda m: case when starts_with(m, '$$') then substr(m, 3, len(m) - 4) else substr(m, 2, len(m) - 2) end)"
+    return f"list_transform(regexp_extract_all({x}, '(?s)\\$\\$.+?\\$\\$|\\$.+?\\$'), lambda m: case when starts_with(m, '$$') and ends_with(m, '$$') and len(m) > 4 then substr(m, 3, len(m) - 4) else substr(m, 2, len(m) - 2) end)"
 
 
 @query("p18_math_spans", f"with {MD_SQL} select doc_id, array_to_string({_spans_sql(_MASK)}, '|') as spans from md")
@@ -191,21 +191,23 @@ def _(s, d):
     return _pairs(s, d).select("doc_id", F.size(integrity.warnings(F.col("en"), F.col("zh"))).cast("bigint").alias("warnings"))
 
 
-@query("p20_repair", f"with {MD_LINES_SQL} select doc_id, ln::bigint as ln, line from md_lines where ln % 5 = 1 and strpos(line, '$$') = 0")
+def _broken(text):
+    """Other code and formulas, display ones too, where doc_id is a multiple of 4: a repair brings all of the source back."""
+    bad = F.col(text)
+    for a, b in (("$v_", "$w_"), ("`c", "`k"), ("$$x_", "$$y_")):
+        bad = F.replace(bad, F.lit(a), F.lit(b))
+    return F.when(F.col("doc_id") % 4 == 0, bad).otherwise(F.col(text))
+
+
+@query("p20_repair", f"with {MD_LINES_SQL} select doc_id, ln::bigint as ln, line from md_lines")
 def _(s, d):
-    en = inputs.md_lines(s, d).where((F.col("ln") % 5 == 1) & ~F.col("line").contains("$$"))
-    zh = F.when(F.col("doc_id") % 4 == 0, F.replace(F.replace("line", F.lit("$v_"), F.lit("$w_")), F.lit("`c"), F.lit("`k"))).otherwise(F.col("line"))
-    return _big(en.select("doc_id", "ln", integrity.repair(F.col("line"), zh).alias("line")))
+    return _big(inputs.md_lines(s, d).select("doc_id", "ln", integrity.repair(F.col("line"), _broken("line")).alias("line")))
 
 
 @query("p20_repair_documents")
 def _(s, d):
-    """Whole documents, display formulas too; p20_repair has the lines that its SQL can say."""
-    en = inputs.md(s, d).withColumnRenamed("md", "en")
-    bad = F.col("en")
-    for a, b in (("$v_", "$w_"), ("`c", "`k"), ("$$x_", "$$y_")):
-        bad = F.replace(bad, F.lit(a), F.lit(b))
-    return en.select("doc_id", integrity.repair(F.col("en"), F.when(F.col("doc_id") % 4 == 0, bad).otherwise(F.col("en"))).alias("md"))
+    """Whole documents; prose may hold lone dollars, so that SQL can't say which spans pair."""
+    return inputs.md(s, d).select("doc_id", integrity.repair(F.col("md"), _broken("md")).alias("md"))
 
 
 def _entries(s, d):
@@ -258,12 +260,14 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", T.short_name(F.col("url")).alias("doc_id"))
 
 
-_SETTINGS = [(f"{section}.{name}", "false" if name == "parallel" else json.dumps(value)) for section, own in config.DEFAULTS.items() for name, value in own.items()]
-
-
-@query("p27_config", f"select * from (values {', '.join(map(str, _SETTINGS))}) t(name, value)")
+@query(
+    "p27_config",
+    """select * from (values ('translate.max_tokens', '65536'), ('translate.temperature', '0.3'), ('translate.thinking', 'true'), ('translate.effort', '"high"'), ('parse.backend', '"hybrid"'),
+('parse.effort', '"medium"'), ('parse.timeout', '90'), ('chunk.target_tokens', '30000'), ('chunk.max_paragraphs', '200'), ('chunk.min_retention', '0.95'), ('run.parallel', 'false'), ('run.workers', '64'),
+('run.parsers', '1'), ('run.max_chapter_pages', '100'), ('run.integrity', 'true')) t(name, value)""",
+)
 def _(s, d):
-    return config.flat(s, config.load('{"run": {"parallel": false, "unknown": 1}, "more": {}}'))
+    return config.flat(s, config.load('{"run": {"parallel": false, "unknown": 1}, "more": {}, "parse": {"timeout": 90}, "translate": {"thinking": true}}'))
 
 
 @query("p29_first_image", f"with {MD_LINES_SQL} select doc_id, ln::bigint as ln, regexp_extract(line, {_IMG_SQL}, 1) as alt, nullif(regexp_extract(line, {_IMG_SQL}, 2), '') as src from md_lines")
@@ -435,6 +439,19 @@ query("w1_headings", f"with {_SERIAL} select * from headed")(lambda s, d: _heade
 query("w2_chapter_headings", f"with {_SINGLE} select * from headed")(lambda s, d: _headed(s, d, False))
 
 
+@query(
+    "a10_chapter_warnings",
+    f"""with {_SINGLE} select source as doc_id, doc_id * 1000000 + ln::bigint as ord, '[T' || doc_id || '] ' || case when keyword then 'chapter ends: ' || {_strip('title')}
+ when not digits then 'not a plain number, chapter ends: ' || number else 'number falls back, now text: ' || number end as warning
+ from h6 join documents using (doc_id) where keyword or (number is not null and not closed and (not digits or falls))""",
+)
+def _(s, d):
+    """Documents as chapters of their source."""
+    found = lines.repair_headings(inputs.md_lines(s, d), chapters=False).where("warning is not null")
+    names = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("source").alias("doc_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"))
+    return pipeline.chapter_warnings(found.select(F.col("doc_id").cast("string").alias("key"), F.col("ln").alias("ord"), "warning"), names)
+
+
 @query("a10_warnings", f"with {_SERIAL} select doc_id, count(*) as warnings from headed where warned group by doc_id")
 def _(s, d):
     return _headed(s, d, True).where("warned").groupBy("doc_id").agg(F.count("*").alias("warnings"))
@@ -482,6 +499,31 @@ def _(s, d):
     return _big(lines.dedup_images(inputs.md_lines(s, d)))
 
 
+query("w4_unsplit", f"with {_CHAPTERS_SQL} select doc_id, ord, 0::bigint as sub, title, start0, end0 from ranges")(lambda s, d: outline.split_large(_ranges(s, d), inputs.outline(s, d), 0))
+
+#: Several images a document, as Markdown and as HTML, some below folders, some alike in name, some on the web.
+_IMAGE_LINE = """case when ln % 7 = 2 then concat('<img alt="z" src="pic', cast(ln % 5 as string), '.jpg">') when ln % 7 = 3 then concat('![u](https://e.org/', cast(ln as string), '.png)')
+ when ln % 7 = 4 then concat('![c', cast(ln as string), '](sub/pic', cast(ln % 3 as string), '.jpg)') when ln % 7 = 5 then concat('![](p.', cast(doc_id % 4 as string), '.png)') else replace(line, '![', '') end"""
+_NAME_SQL = r"""regexp_extract(regexp_extract(line, '^!\[.*?\]\(([^)]+)\)$', 1) || regexp_extract(line, '^<img alt="z" src="([^"]+)">$', 1), '([^/]+)$', 1)"""
+_IMAGES_SQL = f"""{MD_LINES_SQL}, il as (select doc_id, ln, {_IMAGE_LINE} as line from md_lines), io as (select *, case when not contains(line, '://') then nullif({_NAME_SQL}, '') end as name from il),
+ir as (select doc_id, name, row_number() over (partition by doc_id order by min(ln)) as number from io where name is not null group by doc_id, name),
+renumbered as (select doc_id, ln, case when name is null then line else '![' || regexp_extract(line, '^!\\[(.*?)\\]', 1) || '](book.assets/image-' || number || regexp_extract(name, '[^.](\\.[^.]+)$', 1) || ')' end as line from io left join ir using (doc_id, name))"""
+
+
+def _image_md(s, d):
+    return lines.join_lines(inputs.md_lines(s, d).withColumn("line", F.expr(_IMAGE_LINE)))
+
+
+@query("w6_many_images", f"with {_IMAGES_SQL} select doc_id, string_agg(line, chr(10) order by ln) as md from renumbered group by doc_id")
+def _(s, d):
+    return _image_md(s, d).select("doc_id", images.renumber(F.col("md"), "book.assets").alias("md"))
+
+
+@query("a6_many_images", f"with {_IMAGES_SQL} select doc_id, name, number, 'image-' || number || regexp_extract(name, '[^.](\\.[^.]+)$', 1) as new_name from ir")
+def _(s, d):
+    return images.references(_image_md(s, d))
+
+
 @query("w6_image_renumber", f"with {MD_SQL} select doc_id, regexp_replace(md, '!\\[(.*?)\\]\\(img\\d\\.png\\)', '![\\1](book.assets/image-1.png)', 'g') as md from md")
 def _(s, d):
     return inputs.md(s, d).select("doc_id", images.renumber(F.col("md"), "book.assets").alias("md"))
@@ -538,11 +580,11 @@ def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", (T.truthy(F.col("role")) | (F.lower("role") == "user")).alias("v"))
 
 
-@query("s9_json_config", "select event_id, false as broken from events")
+@query("s9_json_config", "select event_id, case when event_id % 2 = 0 then '8' else '64' end as workers from events")
 def _(s, d):
     given = F.from_json(F.when(F.col("event_id") % 2 == 0, F.lit('{"run": {"workers": "8"}}')).otherwise("not json"), "run map<string,string>")
     merged = config.with_defaults(F.coalesce(given["run"], F.create_map().cast("map<string,string>")), F.create_map(F.lit("workers"), F.lit("64")))
-    return table(s, d, "events").select("event_id", (merged["workers"] != F.when(F.col("event_id") % 2 == 0, "8").otherwise("64")).alias("broken"))
+    return table(s, d, "events").select("event_id", merged["workers"].alias("workers"))
 
 
 @query("t2_mark_order", f"with {OUTLINE_SQL} select doc_id, title, row_number() over (partition by doc_id order by page, pos) as n from outline where level = 2")
@@ -573,9 +615,32 @@ def _(s, d):
     return sent.join(answers, ["doc_id", "idx"]).select("doc_id", "idx", T.strip(F.col("content")).alias("source"), "zh")
 
 
-@query("x4_blank", "select conv_id, turn, case when trim(text) = '' then text else 'zh:' || text end as zh from conversations")
+@query("x4_blank", "select conv_id, turn, case when turn % 3 = 0 then ' ' else 'zh:' || text end as zh, (turn % 3 <> 0)::int::bigint as attempts from conversations")
+def _(s, d):
+    """Blank texts are never sent."""
+    from folioflow.plans.translate import call
+
+    asked = table(s, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, " ").otherwise(F.col("text")).alias("raw"))
+    return _big(call(asked, lambda raw: f"zh:{raw}", ["conv_id", "turn"]).select("conv_id", "turn", F.col("raw").alias("zh"), "attempts"))
+
+
+@query("x1_retries", "select o_orderkey, case when o_orderkey % 5 < 3 then 'zh:' || o_orderkey end as raw, case when o_orderkey % 5 >= 3 then 'ValueError()' end as error, least(o_orderkey % 5 + 1, 3)::bigint as attempts from orders")
 def _(s, d):
-    return table(s, d, "conversations").select("conv_id", "turn", F.when(T.strip(F.col("text")) == "", F.col("text")).otherwise(F.concat(F.lit("zh:"), "text")).alias("zh"))
+    """A service that fails a request's first calls, up to four: three tries bring the others home."""
+    from folioflow.plans.translate import Settings, call
+
+    class Stubborn:
+        def __init__(self):
+            self.calls = {}
+
+        def __call__(self, raw):
+            self.calls[raw] = self.calls.get(raw, 0) + 1
+            if self.calls[raw] <= int(raw) % 5:
+                raise ValueError
+            return f"zh:{raw}"
+
+    asked = table(s, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("raw"))
+    return _big(call(asked, Stubborn(), ["o_orderkey"], Settings(patience=0)))
 
 
 @query("x5_translate", f"with {MEMORY_SQL} select {_ALL}, case when is_done then content_zh else 'zh:' || {_strip('content_en')} end as zh from memory")
@@ -590,7 +655,11 @@ def _work(s: SparkSession) -> str:
     """Below the folder that driver and executors share."""
     import uuid
 
-    base = s.conf.get("spark.checkpoint.dir", None) or "/tmp/folioflow"
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if s.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/folioflow"
     return f"{base.rstrip('/')}/translate-{uuid.uuid4().hex}"
 
 
@@ -599,9 +668,9 @@ def _(s, d):
     return pipeline.run(inputs.md(s, d), _work(s))["zh"]
 
 
-@query("x8_parse_only")
+@query("x8_parse_only", f"with {MD_SQL}, r as (select doc_id, regexp_replace(md, '!\\[(.*?)\\]\\(img\\d\\.png\\)', '![\\1](images.assets/image-1.png)', 'g') as md from md) select doc_id, {_p4(_p3(_names(_p1('md'), T.TYPOS)))} as md from r")
 def _(s, d):
-    return pipeline.parsed_only(inputs.md(s, d))
+    return pipeline.parsed_only(inputs.md(s, d), "images.assets")
 
 
 def _parts(s, d):
@@ -657,12 +726,42 @@ def _(s, d):
     return files.outlines(files.discover(s, d, "*.parquet"), reader)
 
 
+_SIZE_SQL = "octet_length(encode(html))"
+
+
+@query("s2_page_counts", f"select page_id::varchar as doc_id, case when {_SIZE_SQL} % 7 = 0 then 0 else {_SIZE_SQL} // 100 end as total_pages, (case when {_SIZE_SQL} % 7 = 0 then 0 else {_SIZE_SQL} % 3 end)::bigint as marks from pages")
+def _(s, d):
+    """Documents without an outline, and ones that can't be read, among others."""
+
+    def reader(content: bytes):
+        if len(content) % 7 == 0:
+            raise ValueError
+        return len(content) // 100, [(1, "a", 1)] * (len(content) % 3)
+
+    rows = table(s, d, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.col("html").cast("binary").alias("content"))
+    return files.outlined(rows, reader).select("doc_id", "total_pages", F.size("marks").cast("bigint").alias("marks"))
+
+
+@query("s3_parse_pages", f"select page_id::varchar as doc_id, case when {_SIZE_SQL} % 7 <> 0 then length(html) || ':' || substr(html, 1, 20) end as md, case when {_SIZE_SQL} % 7 = 0 then 'ValueError(''no text'')' end as error from pages")
+def _(s, d):
+    """A failure is a row."""
+
+    def parser(content: bytes) -> str:
+        if len(content) % 7 == 0:
+            raise ValueError("no text")
+        text = content.decode()
+        return f"{len(text)}:{text[:20]}"
+
+    rows = table(s, d, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.col("html").cast("binary").alias("content"))
+    return files.parse(rows, parser).select("doc_id", "md", "error")
+
+
 @query("s3_parse")
 def _(s, d):
     def parser(content: bytes) -> str:
         return f"{len(content)} bytes"
 
-    return files.parse(files.discover(s, d, "*.parquet"), parser)
+    return files.parse(files.discover(s, d, "*.parquet"), parser).select("doc_id", "md", "error")
 
 
 # --- progress ---
@@ -670,10 +769,10 @@ def _(s, d):
 
 @query("f9_progress_lines", f"with {PROGRESS_SQL} select file_id, ord::bigint as ord, seq, run, status from progress where seq % 5 <> 0 and seq % 7 <> 0")
 def _(s, d):
-    value = F.when(F.col("seq") % 5 == 0, "plain log line").when(F.col("seq") % 7 == 0, progress.PREFIX + "{broken").otherwise(F.col("value"))
-    raw = inputs.progress(s, d).withColumn("title", F.lit("t"))
-    rows = raw.select("seq", F.concat(F.lit(progress.PREFIX), F.to_json(F.struct(*raw.columns))).alias("value")).select(value.alias("value"))
-    return _big(progress.parse(rows).drop("title"))
+    events = inputs.progress(s, d).withColumn("title", F.lit("t"))
+    rows = progress.encode(events.where("seq % 5 <> 0 and seq % 7 <> 0"))
+    others = events.where("seq % 5 = 0 or seq % 7 = 0").select(F.when(F.col("seq") % 5 == 0, "plain log line").otherwise(progress.PREFIX + "{broken").alias("value"))
+    return _big(progress.parse(rows.unionByName(others)).drop("title"))
 
 
 _LATEST = f"{PROGRESS_SQL}, latest as (select file_id, ord, max_by(status, seq) as status, max(seq) as seq from progress group by file_id, ord)"

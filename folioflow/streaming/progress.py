@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PREFIX = "@@PROGRESS@@ "
@@ -31,9 +31,9 @@ def latest(events: DataFrame) -> DataFrame:
 
 
 def current_run(events: DataFrame) -> DataFrame:
-    """Events of each file's last run: those of stale workers go."""
-    w = Window.partitionBy("file_id")
-    return events.withColumn("_last", F.max("run").over(w)).where(F.col("run") == F.col("_last")).drop("_last")
+    """Events of each file's last run: those of stale workers go. The last runs are a small aggregate, so no file's history
+    is gathered."""
+    return events.join(events.groupBy("file_id").agg(F.max("run").alias("run")), ["file_id", "run"]).select(events.columns)
 
 
 def with_queued(events: DataFrame) -> DataFrame:
@@ -57,11 +57,12 @@ def finished(states: DataFrame, reported: DataFrame) -> DataFrame:
     return met.select("file_id", status.alias("status"))
 
 
-def follow(events: DataFrame, name: str, trigger: dict | None = None):
+def follow(events: DataFrame, name: str, trigger: dict | None = None, checkpoint: str | None = None):
     """A query that keeps each file's state in the table `name`: parts are a streaming aggregation, files are rolled up from
-    them in each batch."""
+    them in each batch. With a checkpoint folder, a query that starts again goes on where the last one ended."""
 
     def batch(states: DataFrame, _: int) -> None:
         roll_up(states).write.mode("overwrite").saveAsTable(name)
 
-    return latest(events).writeStream.outputMode("complete").foreachBatch(batch).trigger(**(trigger or {"processingTime": "250 milliseconds"})).start()
+    writer = latest(events).writeStream.outputMode("complete").foreachBatch(batch).trigger(**(trigger or {"processingTime": "250 milliseconds"}))
+    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
