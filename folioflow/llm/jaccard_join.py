@@ -322,8 +322,9 @@ def _met(pairs: DataFrame, prints: DataFrame, what: str, check) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "xa", "nb", "xb").mapInArrow(lean(run), "a long, b long")
 
 
-def allowed(pairs: DataFrame, prints: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Distinct pairs (a, b) that none of the orders, and then not their sketches, forbid."""
+def allowed(pairs: DataFrame, prints: DataFrame, mb: float, percent: int = PERCENT) -> DataFrame:
+    """Distinct pairs (a, b) that none of the orders, and then not their sketches, forbid. What the orders leave is written, so
+    that the shuffled marks are gone before sketches are."""
 
     def ordered(x, nx, y, ny):
         return meet(x, nx, y, ny, percent)
@@ -332,7 +333,10 @@ def allowed(pairs: DataFrame, prints: DataFrame, percent: int = PERCENT) -> Data
         w = min(len(x), len(y)) // 2
         return possible(fold(levels([x]), w), np.int64(nx), fold(levels([y]), w), np.int64(ny), percent)[0]
 
-    return _met(_met(pairs.distinct(), prints, "marks", ordered), prints, "sketch", overlapping)
+    left = materialise(_met(pairs.distinct(), prints, "marks", ordered), "ordered", 4 * mb, cores(prints.sparkSession))
+    out = materialise(_met(left, prints, "sketch", overlapping), "pairs", 4 * mb, cores(prints.sparkSession))
+    discard(left)
+    return out
 
 
 def _alike(a: str, b: str, percent: int):
@@ -340,14 +344,14 @@ def _alike(a: str, b: str, percent: int):
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
-def first_pairs(grouped: DataFrame, prints: DataFrame, percent: int = PERCENT) -> DataFrame:
+def first_pairs(grouped: DataFrame, prints: DataFrame, mb: float, percent: int = PERCENT) -> DataFrame:
     """Each class beside its group's leader, unless sizes, orders or sketches forbid it."""
     pairs = grouped.where((F.col("leader") != F.col("id")) & _alike("n", "n_leader", percent))
-    return allowed(pairs.select(F.col("leader").alias("a"), F.col("id").alias("b")), prints, percent)
+    return allowed(pairs.select(F.col("leader").alias("a"), F.col("id").alias("b")), prints, mb, percent)
 
 
-def across_pairs(grouped: DataFrame, prints: DataFrame, labels: DataFrame, mb: float, percent: int = PERCENT) -> tuple[DataFrame, list[DataFrame]]:
-    """All pairs of one group and different components that orders and sketches allow; and the tables behind them.
+def across_pairs(grouped: DataFrame, prints: DataFrame, labels: DataFrame, mb: float, percent: int = PERCENT) -> DataFrame:
+    """All pairs of one group and different components that orders and sketches allow.
 
     Groups of up to SMALL give their pairs of like sizes as they are. In larger ones without a component of note most have
     little in common but a passage: outlines are dealt out. Of the others the sketches themselves are dealt out, and each
@@ -402,7 +406,12 @@ def across_pairs(grouped: DataFrame, prints: DataFrame, labels: DataFrame, mb: f
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     heavy = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lean(run), "a long, b long")
-    return allowed(few.unionByName(vague).unionByName(heavy), prints, percent), [bulk, table]
+    # one after the other, so that what each shuffles is gone before the next
+    some = [materialise(p.distinct(), "candidates", 4 * mb, cores(prints.sparkSession)) for p in (few, vague, heavy)]
+    discard(bulk, table)
+    out = allowed(some[0].unionByName(some[1]).unionByName(some[2]), prints, mb, percent)
+    discard(*some)
+    return out
 
 
 def _grouped(batches, keys: tuple[str, ...], names: tuple[str, ...]):
@@ -455,9 +464,8 @@ def _loose_pairs(rows: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lean(run), "a long, b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, mb: float, words: int, percent: int) -> tuple[DataFrame, int]:
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> tuple[DataFrame, int]:
     """The links among pairs, and how many they are."""
-    pairs = materialise(pairs, "pairs", mb, cores(docs.sparkSession))
     links = verify(docs, pairs, pairs.count(), words, percent)
     discard(pairs)
     return links, links.count()
@@ -480,11 +488,10 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     discard(shared)
     mb = 40 * grouped.count() / 1e6
     prints = fingerprints(docs, grouped.select("id").distinct(), 15 * mb, words, percent)
-    links, n = _verified(docs, first_pairs(grouped, prints, percent), 4 * mb, words, percent)
+    links, n = _verified(docs, first_pairs(grouped, prints, mb, percent), words, percent)
     first = components(links, n).select("id", "component")
-    more, behind = across_pairs(grouped, prints, first, mb, percent)
-    late, n_late = _verified(docs, more, 4 * mb, words, percent)
-    discard(*behind, grouped, prints, links)
+    late, n_late = _verified(docs, across_pairs(grouped, prints, first, mb, percent), words, percent)
+    discard(grouped, prints, links)
     # the components that late links join, as a graph of their own
     of = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     joined = late.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
