@@ -79,3 +79,12 @@ def test_representatives_are_whole_rows(spark):
     assert got.columns == docs.columns
     want = {c for _, c in brute([r for r in rows if r[0] is not None]).values()}
     assert sorted((r.doc_id for r in got.collect()), key=lambda d: -1 if d is None else d) == [None, None, *sorted(want)]
+
+
+def test_words_that_collide_as_polynomials_differ():
+    """Thue-Morse words: any polynomial modulo 2**64 over their bytes is the same for a word and its complement."""
+    from folioflow.llm.shingles import shingle_set
+
+    bits = [bin(k).count("1") % 2 for k in range(4096)]
+    one, other = (bytes(97 + (b ^ flip) for b in bits) for flip in (0, 1))
+    assert shingle_set(one).tolist() != shingle_set(other).tolist()

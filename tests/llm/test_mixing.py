@@ -72,3 +72,17 @@ def test_documents_repeat_as_often_as_taken(spark):
 def test_no_rows_and_no_words(spark):
     assert mix(frame(spark, [])).collect() == []
     assert [(r.size, r.target, r.taken) for r in mix(frame(spark, [(1, None), (2, " ")])).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_no_text_stands_for_another_and_alike_rows_share(spark):
+    rows = [(1, "a b c", "s"), (1, "d e f", "s"), (None, "g h", "s"), (None, "g h", "s"), (None, "i j", "t"), (None, "i k", "t")]
+    docs = frame(spark, rows)
+    taken = {}
+    for r in mix(docs).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    out = [(r.doc_id, r.text) for r in mixed_documents(docs).collect()]
+    words_out = {}
+    for d, t in out:
+        words_out[d] = words_out.get(d, 0) + len(t.split())
+    assert words_out == {d: n for d, n in taken.items() if n}
+    assert {t for _, t in out} >= {"a b c", "d e f", "g h"} and max(out.count(x) for x in set(out)) <= 4
