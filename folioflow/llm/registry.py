@@ -10,6 +10,7 @@ from folioflow.llm.html_text import op8_html_extraction
 from folioflow.llm.jaccard_join import op5_jaccard_join
 from folioflow.llm.mixing import op4_source_mixing
 from folioflow.llm.nearest import op2_anisotropic_nearest
+from folioflow.llm.oracles import SQL
 from folioflow.llm.packing import op10_best_fit_packing
 from folioflow.llm.quality_qda import op6_quality_classifier
 from folioflow.llm.quality_rules import op7_quality_rules
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

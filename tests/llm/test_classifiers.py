@@ -1,9 +1,13 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import zstandard
 
-from cases import ODD, frame, words
+from cases import ODD, frame, texts, words
 from folioflow.llm import quality_qda, toxicity
 
 
@@ -44,6 +48,52 @@ def test_discriminant_equals_the_density_formula():
     assert np.allclose(model.probabilities(x[1][:5]), 1 / (1 + np.exp(logs[0] - logs[1])))
 
 
+def plain_statistics(text):
+    """Each statistic by its name, character by character."""
+    raw = text.encode()
+    w, lines = re.findall(rb"[^\x20\x09-\x0D]+", raw), raw.split(b"\n")
+    n, m = len(raw), len(w)
+    logit = lambda count, of: math.log((count + 0.5) / (of - count + 0.5))
+    share = lambda count, of: logit(count / of * of, of)
+    of_bytes = lambda members: share(sum(b in members for b in raw) * (n + 1) / (n + 1), n + 1)
+    return {
+        "bytes": math.log(n + 1),
+        "words": math.log(m + 1),
+        "word_length": math.log(n / (m + 1) + 1),
+        "line_length": math.log(n / len(lines) + 1),
+        "upper": of_bytes(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "digits": of_bytes(b"0123456789"),
+        "symbols": of_bytes(b"#*$%&|<>~^_{}[]@="),
+        "exclamation": of_bytes(b"!"),
+        "other_punctuation": of_bytes(b"\"'(),-./:;?"),
+        "non_ascii": of_bytes(bytes(range(128, 256))),
+        "spaces": of_bytes(b"\t\n\x0b\x0c\r "),
+        "distinct_words": share(len(set(w)), m + 1),
+        "distinct_pairs": share(len({(a, b) for a, b in zip(w, w[1:], strict=False)}), m + 1),
+        "duplicate_lines": share(len(lines) - len(set(lines)), len(lines)),
+        "top_word": share(max(Counter(w).values(), default=0), m + 1),
+        "one_letter": share(sum(len(x) == 1 for x in w), m + 1),
+        "compression": math.log((len(zstandard.ZstdCompressor(level=3).compress(raw)) + 1) / (n + 1)),
+    }
+
+
+def test_statistics_against_plain_loops(spark):
+    made = texts() + ["A! B? c, d; (e) 12 34 #$% {x}=y", "same\nsame\nother\nsame", "AB12" * 50]
+    got = {r.doc_id: r.x for r in quality_qda.describe(frame(spark, enumerate(made))).collect()}
+    for k, t in enumerate(made):
+        want = plain_statistics(t or "")
+        assert list(want) == list(quality_qda.STATISTICS)
+        assert np.allclose(got[k], list(want.values()), rtol=1e-5, atol=1e-5), repr(t)[:80]
+
+
+def test_quality_of_repeated_rows(spark):
+    rows = [(k, f"{words(random.Random(k), 20)}{'!!! ***' if k % 2 else '.'}") for k in range(60)]
+    known = labels(spark, [(k, k % 2 == 0) for k in range(60)], "quality")
+    got = quality_qda.score(frame(spark, rows + [rows[4]] * 3 + [(None, rows[4][1])]), known).collect()
+    assert len(got) == 64 and len({r.score for r in got if r.doc_id in (4, None)}) == 1
+    assert [r.held_out for r in got if r.doc_id is None] == [False]
+
+
 def test_quality_without_labels_or_rows(spark):
     none = labels(spark, [], "quality")
     assert quality_qda.score(frame(spark, []), none).collect() == []
@@ -99,6 +149,35 @@ def test_segments_are_the_maximal_ones():
         assert toxicity.segments(hits, -1.0) == want
 
 
+def test_probability_against_sampled_chances():
+    """Evidence of k significant segments: how often the product of k chances is as small, by many draws."""
+    lex = toxicity.Lexicon({}, {}, rate=0.6, prior=0.2, k=0.05, slope=0.9, start=-2.0)
+    rng = np.random.default_rng(8)
+    draws = rng.random((400_000, 3))
+    for n, scores in ((50, [9.0]), (400, [14.0, 15.0]), (90, [10.0, 11.0, 10.5]), (90, [10.0, 0.5]), (5000, [3.0, 4.0])):
+        chances = [1 - math.exp(-0.05 * n * math.exp(-0.6 * s)) for s in scores]
+        told = [p for p in chances if p < toxicity.SIGNIFICANT] or [min(chances)]
+        product = math.prod(told)
+        sampled = (draws[:, : len(told)].prod(axis=1) <= product).mean()
+        exact = product if len(told) == 1 else sampled
+        found = [(i, i, s) for i, s in enumerate(scores)]
+        want = 1 / (1 + math.exp(2.0 - 0.9 * -math.log(exact)))
+        assert abs(toxicity.probability(found, n, lex) - want) < (1e-9 if len(told) == 1 else 0.02), (n, scores)
+    assert abs(toxicity.probability([], 10, lex) - 1 / (1 + math.exp(2.0))) < 1e-12
+
+
+def test_toxicity_of_repeated_rows(spark):
+    rng = random.Random(2)
+    rows = [(k, words(rng, 30) + (" grubface mudling grubface" if k % 3 == 0 else "")) for k in range(120)]
+    lex = toxicity.fit(frame(spark, rows), labels(spark, [(k, k % 3 == 0) for k in range(120)], "toxic"))
+    docs = frame(spark, rows + [rows[3]] * 2 + [rows[4]] * 2 + [(None, rows[3][1]), (None, rows[4][1])])
+    got = toxicity.score(docs, lex).collect()
+    assert len(got) == 126 and len({(r.doc_id, r.score) for r in got}) == 122
+    assert [r.held_out for r in got if r.doc_id is None] == [False, False]
+    kept = [r.doc_id for r in toxicity.clean(docs, lex).collect()]
+    assert kept.count(4) == 3 and kept.count(3) == 0 and kept.count(None) == 1
+
+
 def test_extreme_rate_solves_its_equation():
     hits = [(0.001, 4.0), (0.0004, 6.0)]
     rate = toxicity.extreme_rate(hits)

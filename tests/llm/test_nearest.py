@@ -54,6 +54,13 @@ def test_equal_vectors_come_by_id_and_few_candidates_come_all(spark):
     assert search(frame(spark, [])).collect() == [] and search(frame(spark, [(0, [1.0])])).collect() == []
 
 
+def test_rows_that_repeat_a_vec_id_never_find_each_other(spark):
+    rows = [(100, [1.0, 2.0]), (100, [1.0, 2.5]), (1, [1.0, 2.1]), (2, [5.0, 5.0]), (2, [6.0, 6.0])]
+    got = search(frame(spark, rows)).collect()
+    assert {r.query_id for r in got} == {100} and 100 not in {r.vec_id for r in got}
+    assert {1, 2} == {r.vec_id for r in got}
+
+
 def test_parallel_error_costs_more():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 64))

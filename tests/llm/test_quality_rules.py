@@ -1,7 +1,10 @@
+import random
 import re
 from collections import Counter
 
-from cases import frame, texts
+import zstandard
+
+from cases import frame, texts, words
 from folioflow.llm.quality_rules import assess
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -29,8 +32,6 @@ def test_base_measures_against_plain_loops(spark):
 
 
 def test_bands_reject_noise_and_loops_and_keep_prose(spark):
-    import random
-
     rng = random.Random(1)
     noise = " ".join("".join(chr(rng.randint(33, 126)) for _ in range(rng.randint(3, 9))) for _ in range(2000))
     loop = " ".join(f"w{i % 7}x{i % 11}q{i % 13}" for i in range(3000))
@@ -39,8 +40,6 @@ def test_bands_reject_noise_and_loops_and_keep_prose(spark):
 
 
 def test_tail_after_the_last_full_chunk_is_judged(spark):
-    import random
-
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 9))) for _ in range(900)]
     prose = " ".join(rng.choice(vocabulary) for _ in range(3000))
@@ -51,6 +50,38 @@ def test_tail_after_the_last_full_chunk_is_judged(spark):
     assert [(got[k].n_chunks, got[k].bad_chunks, got[k].kept) for k in range(5)] == [(2, 1, False), (2, 0, True), (1, 0, True), (0, 0, True), (2, 0, True)]
 
 
+def verdict(text):
+    """By the rules' own words: the band of the text's length, then a third of its 4 KB chunks, the last one ending with it."""
+    raw, limits = (text or "").encode(), {0: (0.36, 9.0), 200: (0.34, 0.95), 500: (0.32, 0.85), 1000: (0.30, 0.78), 4000: (0.27, 0.74), 20000: (0.24, 0.72), 100000: (0.20, 0.72)}
+    ratio = lambda b: len(zstandard.ZstdCompressor(level=3).compress(b)) / len(b)
+    n_words, _, _, _, n_repeat = base(text)
+    if n_words < 10 or 100 * n_repeat > 20 * n_words:
+        return False
+    low, high = limits[max(n for n in limits if n <= len(raw))]
+    chunks, at = [], 0
+    while at + 4096 <= len(raw):
+        chunks.append(raw[at : at + 4096])
+        at += 4096
+    if chunks and at < len(raw):
+        chunks.append(raw[-4096:])
+    bad = [c for c in chunks if ratio(c) < 0.27 or ratio(c) > 0.74]
+    return low <= ratio(raw) <= high and len(bad) <= 0.34 * len(chunks)
+
+
+def test_verdicts_against_plain_loops(spark):
+    rng = random.Random(11)
+    noise = lambda n: " ".join("".join(chr(rng.randint(33, 126)) for _ in range(7)) for _ in range(n))
+    loop = lambda n: " ".join(f"w{i % 7}x{i % 11}q{i % 13}" for i in range(n))
+    prose = lambda n: words(rng, n)
+    made = texts()
+    for n in (12, 40, 150, 700, 3000, 20000):
+        parts = [noise(n), loop(n), prose(n)]
+        made += [*parts, f"{parts[2]} {parts[0]}", f"{parts[2]} {parts[1]}", f"{parts[2]} {parts[2]}"]
+    got = {r.doc_id: r.kept for r in assess(frame(spark, enumerate(made))).collect()}
+    want = {i: verdict(t) for i, t in enumerate(made)}
+    assert got == want and len(set(want.values())) == 2
+
+
 def test_no_rows_and_repeated_rows(spark):
     assert assess(frame(spark, [])).collect() == []
     assert len(assess(frame(spark, [(1, "a b")] * 3)).collect()) == 3
