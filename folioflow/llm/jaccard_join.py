@@ -9,7 +9,9 @@ common up to where both prefixes reach, hence how many can be at most; a candida
 Equal sets are one class. Groups of classes behind a prefix token never become all their pairs:
  1. each class is paired with one of its group; the orders, and then a count sketch that bounds the overlap from above, drop
     pairs that can't be similar; the rest is verified on whole texts, and components are formed;
- 2. only pairs across components are left. In a group, the largest component's classes (dealt over blocks) meet all others,
+ 2. in large groups, classes outside the largest component are paired with the few whose sketches are nearest, so that a crowd
+    of near copies, of which few are similar to any one, becomes one component by links in proportion to its size;
+ 3. only pairs across components are left. In a group, the largest component's classes (dealt over blocks) meet all others,
     and these meet each other; what orders and sketches can't drop is verified.
 So each similar pair of classes is verified or joined by verified ones: components are exact.
 """
@@ -20,7 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import cores, discard, doc_bytes, documents, lean, materialise, tuned
@@ -40,6 +42,8 @@ BLOCK, BESIDE = 1_024, 256
 SMALL = 24
 #: Classes of a group's largest component up to which the group counts as loose.
 LOOSE = 3
+#: Nearest classes that a class outside its group's largest component is paired with before all pairs are.
+NEAREST = 4
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -99,11 +103,16 @@ def fold(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
-def possible(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Whether levels of rows a and b (of one width), with na and nb tokens, allow the similarity: where a cell holds more
-    tokens of one than of the other, the other lacks so many."""
+def common_at_most(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Tokens that sets with levels of rows a and b (of one width) and na and nb tokens can have in common: where a cell holds
+    more tokens of one than of the other, the other lacks so many."""
     lack = lambda x, y: np.bitwise_count(x & ~y).sum(axis=(-2, -1), dtype=np.int64)
-    both = np.minimum(na - lack(a, b), nb - lack(b, a))
+    return np.minimum(na - lack(a, b), nb - lack(b, a))
+
+
+def possible(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether levels of rows a and b (of one width), with na and nb tokens, allow the similarity."""
+    both = common_at_most(a, na, b, nb)
     return 100 * both >= percent * (na + nb - both)
 
 
@@ -350,6 +359,86 @@ def first_pairs(grouped: DataFrame, prints: DataFrame, mb: float, percent: int =
     return allowed(pairs.select(F.col("leader").alias("a"), F.col("id").alias("b")), prints, mb, percent)
 
 
+def _components(grouped: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The groups' rows with their components; and of each group of several components its size (all), that of the largest one
+    (most), which it is (bulk), and how many blocks it and the rest take."""
+    rows = grouped.select("token", "id", "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
+    bulk = parts.groupBy("token").agg(F.max(F.struct("size", "component")).alias("m"), F.sum("size").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    return rows, bulk.select("token", "all", F.col("m.size").alias("most"), F.col("m.component").alias("bulk"), F.ceil(F.col("m.size") / F.lit(float(BLOCK))).cast("int").alias("n_bulk"), F.ceil((F.col("all") - F.col("m.size")) / F.lit(float(BLOCK))).cast("int").alias("n_rest"))
+
+
+def nearest_pairs(grouped: DataFrame, prints: DataFrame, labels: DataFrame, mb: float, percent: int = PERCENT) -> DataFrame:
+    """Each class outside the largest component of a group beside the NEAREST of other components by the bound that sketches
+    give, as far as it allows the similarity. Small and loose groups are left out; what is missed is found by across_pairs()."""
+    rows, bulk = _components(grouped, labels)
+    rows = rows.join(bulk.where((F.col("all") > SMALL) & (F.col("most") > LOOSE)), "token").withColumn("in_bulk", F.col("component") == F.col("bulk"))
+    dealt = _cells(rows).join(prints.select("id", "sketch"), "id")
+
+    def nearest(group):
+        n, component, ids, in_bulk = (np.array(group[k]) for k in ("n", "component", "id", "in_bulk"))
+        order = np.argsort(n, kind="stable")
+        n, component, ids, in_bulk = n[order], component[order], ids[order], in_bulk[order]
+        width, row, bits = _bitmaps([group["sketch"][k] for k in order])
+        for k in np.flatnonzero(~in_bulk):
+            near = np.arange(np.searchsorted(100 * n, percent * n[k]), np.searchsorted(n, n[k] * 100 // percent, side="right"))
+            near = near[component[near] != component[k]]
+            both = np.zeros(len(near), np.int64)
+            for w in set(width[near].tolist()):
+                some, v = width[near] == w, min(w, int(width[k]))
+                both[some] = common_at_most(fold(bits[int(width[k])][row[k]][None], v), n[k], fold(bits[w][row[near[some]]], v), n[near[some]])
+            either = n[k] + n[near] - both
+            like = np.where(100 * both >= percent * either, 1_000_000 * both // either, -1)
+            for y in np.argsort(-like, kind="stable")[:NEAREST]:
+                if like[y] >= 0:
+                    yield ids[k], ids[near[y]], like[y]
+
+    def run(batches):
+        for _, group in _grouped(batches, ("token", "i", "j"), ("id", "n", "component", "in_bulk", "sketch")):
+            if out := list(nearest(group)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["b", "a", "like"])
+
+    found = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lean(run), "b long, a long, like long")
+    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("like"), "a"))
+    return materialise(found.distinct().withColumn("nth", nth).where(F.col("nth") <= NEAREST).select("a", "b"), "nearest", 4 * mb, cores(prints.sparkSession))
+
+
+def gather(docs: DataFrame, grouped: DataFrame, prints: DataFrame, links: DataFrame, n: int, mb: float, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """id and component by n links and by those among nearest_pairs(), which spare across_pairs() most of a crowd's pairs."""
+    labels = components(links, n)
+    near = nearest_pairs(grouped, prints, labels.select("id", "component"), mb, percent)
+    if near.limit(1).count():
+        more, n_more = _verified(docs, allowed(near, prints, mb, percent), words, percent)
+        if n_more:
+            discard(labels)
+            labels = components(links.unionByName(more), n + n_more)
+        discard(more)
+    discard(near, links)
+    return labels.select("id", "component")
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows of groups dealt over cells of two blocks: the rest meets each block of the bulk, and itself in cells (-1 - i, j)
+    with i <= j."""
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    at_bulk, at_rest = F.pmod(F.hash("id"), "n_bulk"), F.pmod(F.hash("id"), "n_rest")
+    of_bulk = F.transform(every("n_rest"), lambda j: cell(at_bulk, j))
+    of_rest = F.concat(F.transform(every("n_bulk"), lambda i: cell(i, at_rest)), F.transform(every("n_rest"), lambda j: cell(-1 - F.least(j, at_rest), F.greatest(j, at_rest))))
+    dealt = rows.withColumn("cell", F.explode(F.when(F.col("in_bulk"), of_bulk).otherwise(of_rest)))
+    return dealt.select("token", "cell.i", "cell.j", "id", "n", "component", "in_bulk")
+
+
+def _bitmaps(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Each sketch's width, its row among those of its width, and the levels by width."""
+    width = np.array([len(x) // 2 for x in sketches])
+    bits = {w: levels([x for x, v in zip(sketches, width, strict=True) if v == w]) for w in set(width.tolist())}
+    row = np.zeros(len(sketches), np.int64)
+    for w in bits:
+        row[width == w] = np.arange((width == w).sum())
+    return width, row, bits
+
+
 def across_pairs(grouped: DataFrame, prints: DataFrame, labels: DataFrame, mb: float, percent: int = PERCENT) -> DataFrame:
     """All pairs of one group and different components that orders and sketches allow.
 
@@ -357,10 +446,7 @@ def across_pairs(grouped: DataFrame, prints: DataFrame, labels: DataFrame, mb: f
     little in common but a passage: outlines are dealt out. Of the others the sketches themselves are dealt out, and each
     pair comes from the least of its groups.
     """
-    rows = grouped.select("token", "id", "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
-    bulk = parts.groupBy("token").agg(F.max(F.struct("size", "component")).alias("m"), F.sum("size").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    bulk = bulk.select("token", "all", F.col("m.size").alias("most"), F.col("m.component").alias("bulk"), F.ceil(F.col("m.size") / F.lit(float(BLOCK))).cast("int").alias("n_bulk"), F.ceil((F.col("all") - F.col("m.size")) / F.lit(float(BLOCK))).cast("int").alias("n_rest"))
+    rows, bulk = _components(grouped, labels)
     bulk = materialise(bulk, "bulk", mb)
     table = materialise(rows.join(bulk, "token").withColumn("in_bulk", F.col("component") == F.col("bulk")), "across", mb)
     small = table.where(F.col("all") <= SMALL).select("token", "id", "n", "component")
@@ -370,25 +456,14 @@ def across_pairs(grouped: DataFrame, prints: DataFrame, labels: DataFrame, mb: f
     vague = _loose_pairs(table.where(loose), prints, percent)
     rows = table.where((F.col("all") > SMALL) & ~loose)
     own = rows.groupBy("id").agg(F.collect_list("token").alias("tokens"))  # no more than a prefix
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
-    at_bulk, at_rest = F.pmod(F.hash("id"), "n_bulk"), F.pmod(F.hash("id"), "n_rest")
-    of_bulk = F.transform(every("n_rest"), lambda j: cell(at_bulk, j))
-    # the rest meets each block of the bulk, and itself in cells (-1 - i, j) with i <= j
-    of_rest = F.concat(F.transform(every("n_bulk"), lambda i: cell(i, at_rest)), F.transform(every("n_rest"), lambda j: cell(-1 - F.least(j, at_rest), F.greatest(j, at_rest))))
-    dealt = rows.withColumn("cell", F.explode(F.when(F.col("in_bulk"), of_bulk).otherwise(of_rest)))
-    dealt = dealt.select("token", "cell.i", "cell.j", "id", "n", "component").join(prints.select("id", "sketch"), "id").join(own, "id")
+    dealt = _cells(rows).drop("in_bulk").join(prints.select("id", "sketch"), "id").join(own, "id")
 
     def pairs_of(token, group):
         n, component, ids = (np.array(group[k]) for k in ("n", "component", "id"))
         order = np.argsort(n, kind="stable")
         n, component, ids = n[order], component[order], ids[order]
-        sketches, tokens = [group["sketch"][k] for k in order], [set(group["tokens"][k]) for k in order]
-        width = np.array([len(x) // 2 for x in sketches])
-        bits = {w: levels([x for x, v in zip(sketches, width, strict=True) if v == w]) for w in set(width.tolist())}
-        row = np.zeros(len(ids), np.int64)
-        for w in bits:
-            row[width == w] = np.arange((width == w).sum())
+        tokens = [set(group["tokens"][k]) for k in order]
+        width, row, bits = _bitmaps([group["sketch"][k] for k in order])
         for k in range(len(ids) - 1):
             last = np.searchsorted(n, n[k] * 100 // percent, side="right")
             near = np.arange(k + 1, last)
@@ -489,9 +564,9 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     mb = 40 * grouped.count() / 1e6
     prints = fingerprints(docs, grouped.select("id").distinct(), 15 * mb, words, percent)
     links, n = _verified(docs, first_pairs(grouped, prints, mb, percent), words, percent)
-    first = components(links, n).select("id", "component")
+    first = gather(docs, grouped, prints, links, n, mb, words, percent)
     late, n_late = _verified(docs, across_pairs(grouped, prints, first, mb, percent), words, percent)
-    discard(grouped, prints, links)
+    discard(grouped, prints)
     # the components that late links join, as a graph of their own
     of = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     joined = late.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))

@@ -66,6 +66,28 @@ def test_equals_all_pairs(spark, monkeypatch):
         assert got == brute(rows)
 
 
+def test_a_crowd_of_near_copies_needs_few_pairs(spark, monkeypatch):
+    """Two words of each copy differ from the first text: any two are similar only where these lie close by chance."""
+    rng = random.Random(5)
+    first, rows = [f"w{k}" for k in range(150)], []
+    for d in range(240):
+        text = list(first)
+        for k in rng.sample(range(5, 145), 2):
+            text[k] = f"v{rng.random()}"
+        rows.append((d, " ".join(text)))
+    made, write = {}, jaccard_join.materialise
+
+    def counted(df, name, *args):
+        out = write(df, name, *args)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in join(frame(spark, rows)).collect()}
+    assert got == brute(rows)
+    assert sum(made[k] for k in ("candidates", "ordered", "pairs")) < 20 * len(rows), made
+
+
 def test_no_rows_and_repeated_rows(spark):
     assert join(frame(spark, [])).collect() == []
     got = join(frame(spark, [(3, "a b c d e f")] * 2 + [(2, "A b c d e F"), (1, None), (0, "")])).collect()
